@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
+
 
 def _vocabulary(name: str) -> str:
     """A public tokenizer's file; every operator takes such a path as a parameter."""
@@ -30,6 +32,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir)).drop("spans")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -49,6 +55,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_license_scan, op4_packing, op8_token_output, op10_bpe_codec)
+    f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality_rules, op4_packing, op8_token_output, op10_bpe_codec)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL}
