@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import embedding_dedup, quality_rules
 
 
 def _vocabulary(name: str) -> str:
@@ -42,12 +42,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_components
+
+    return simhash_components(_documents(spark, sf_dir))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
 
     return token_output(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import round_trip
 
@@ -55,6 +65,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality_rules, op4_packing, op8_token_output, op10_bpe_codec)
+    f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality_rules, op4_packing, op5_simhash_dedup, op8_token_output, op9_embedding_dedup, op10_bpe_codec)
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_embedding_dedup": embedding_dedup.ORACLE_SQL}
