@@ -6,6 +6,7 @@ one is made. Written tables cut lineage and survive the loss of executors.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files that only finished steps have read."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
         jvm, jsc = self.spark._jvm, self.spark._jsc
