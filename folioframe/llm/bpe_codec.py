@@ -27,11 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import narrow, parts
-from .units import Memory, byte_bpe_units
+from .units import BYTE_WORD, Memory, byte_bpe_units
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Fixed value: how words are told apart before merging.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = np.iinfo(np.int32).max
 #: Words of more bytes are merged one by one with a heap.
 WIDE = 32
@@ -64,7 +62,7 @@ class Merges:
         made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], order.astype(np.int32), made[order]
-        self.word = regex.compile(WORD)
+        self.word = regex.compile(BYTE_WORD)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,9 +317,7 @@ class Codec:
         return [b"".join([ids[w] for w in p]) for p in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [byte_bpe_units(t) for t in texts]
-        get = self.memory.look_up(units)
-        return [np.frombuffer(b"".join(map(get, u)), "<u4") for u in units]
+        return [np.frombuffer(b"".join(x), "<u4") for x in self.memory.look_up([byte_bpe_units(t) for t in texts])]
 
     def decode(self, ids: list[int]) -> str:
         return self.merges.decode(ids)

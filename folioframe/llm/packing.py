@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .arrow import narrow, parts
-from .units import Memory, spaceless_units
+from .units import Memory, library_ids, load_tokenizer, plain_words, spaceless_units
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -139,26 +139,12 @@ class Packer:
 
 @functools.lru_cache(maxsize=4)
 def _encoder(path: str) -> Memory:
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    def ids(units: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(units), 10_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(units[lo : lo + 10_000], add_special_tokens=False)]
-        return out
-
-    return Memory(ids, most=500_000)
+    return Memory(library_ids(load_tokenizer(path)), most=500_000, split=plain_words)
 
 
 def word_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts by a tokenizer that drops white space."""
-    memory, units = _encoder(path), [spaceless_units(t) for t in texts]
-    get = memory.look_up(units)
-    return [np.frombuffer(b"".join(map(get, u)), "<u4") for u in units]
+    return [np.frombuffer(b"".join(x), "<u4") for x in _encoder(path).look_up([spaceless_units(t) for t in texts])]
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, most_open: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,18 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality_classifier
+
+    return quality_classifier(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeat_digest
+
+    return repeat_digest(_documents(spark, sf_dir))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
 
@@ -65,6 +77,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality_rules, op4_packing, op5_simhash_dedup, op8_token_output, op9_embedding_dedup, op10_bpe_codec)
+    f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality_rules, op4_packing, op5_simhash_dedup, op6_quality_classifier, op7_suffix_dedup, op8_token_output, op9_embedding_dedup, op10_bpe_codec)
 }
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_embedding_dedup": embedding_dedup.ORACLE_SQL}

@@ -1,21 +1,28 @@
 """SimHash near-duplicates: fingerprints linked by the generalised pigeonhole principle.
 
-64-bit fingerprints are cut into m = 4 partitions of 16 bits, correlated bits together. If two
-fingerprints differ in at most r bits and thresholds t of the partitions (-1: not looked at) sum to
-r - m + 1, they differ in at most t bits within some partition. Each fingerprint gets thresholds of its
-own: dynamic programming takes those with the fewest estimated candidates, from histograms of the
-partitions' values (4 x 65,536 numbers, whatever the input). It probes all values within its
-thresholds; what it meets there is verified over all bits.
+Fingerprints of 64 bits (or several words of 64) are cut into m partitions of 16 bits, correlated
+bits together. If two fingerprints differ in at most r bits and thresholds t of the partitions (-1: not
+looked at) sum to r - m + 1, they differ in at most t bits within some partition. Each fingerprint
+gets thresholds of its own: dynamic programming takes those with the fewest estimated candidates, from
+histograms of the partitions' values (m x 65,536 numbers, whatever the input). It probes all values
+within its thresholds; what it meets there is verified over all bits.
+
+`simhash_components` links one-word fingerprints within 3 bits, for which the principle finds every
+link. `keep_one` wants texts whose shingles are similar to 0.8, and such texts differ in a seventh of
+their bits, beyond what any index of exact keys covers. It takes fingerprints of six words: all that
+differ in up to 23 of 384 bits are met, others with a probability that falls with the distance (a
+seventh of the bits: 0.84), and those met are linked if they differ in at most 58, the bits'
+expected distance at that similarity.
 
 Large groups. Equal fingerprints are one row. A value with more than `refine` fingerprints is no
-key; the other 48 bits are cut in four, of which one must be equal, for keys of 28 bits. What is
-still more than `block` fingerprints is cut into blocks that meet pairwise, in tasks of bounded size. A
-task gives the links of a spanning forest of what it compared, never all pairs, and components are
-found by joins (`components`).
+key; the other bits are cut into as many parts as could differ and one more, of which one must be
+equal, for longer keys. What is still more than `block` fingerprints is cut into blocks that meet
+pairwise, in tasks of bounded size. A task gives the links of a spanning forest of what it compared,
+never all pairs, and components are found by joins (`components`).
 
 Null text counts as empty, and empty texts (fingerprint 0) are linked like others. A null id takes
 part and never names a component (null if there is no other id). Repeated rows each get a row, an
-empty table gives an empty result, other columns are ignored.
+empty table gives an empty result, other columns are ignored (`keep_one` keeps them).
 """
 
 from __future__ import annotations
@@ -34,79 +41,101 @@ from .components import components, forest
 from .scratch import Scratch
 
 SEED = 42
-M, WIDTH = 4, 16
+WIDTH = 16
 #: The farthest that a partition is probed: 1 + 16 + 120 values.
 FAR = 2
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Bits set in over half the shingles' hashes; 0 for a text without words."""
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    whole, hash_of = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hash_of(whole, SEED)
-    end = np.cumsum([len(w) + 1 for w in words])
-    start = np.concatenate(([0], end[:-1]))[: len(words) - shingle + 1].tolist()
+def spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """[hash, word]: the hash itself, then further words mixed from it."""
+    out = [hashes]
+    for k in range(1, words):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, 1)
+
+
+def fingerprint(text: str, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """Bits set in over half the shingles' hashes, as 64-bit words; 0 for a text without words."""
+    tokens = text.encode().lower().split()
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    whole, hash_of = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= shingle:
+        return spread(np.array([hash_of(whole, SEED)], np.uint64), words)[0]
+    end = np.cumsum([len(w) + 1 for w in tokens])
+    start = np.concatenate(([0], end[:-1]))[: len(tokens) - shingle + 1].tolist()
     hashes = [hash_of(whole[a:b], SEED) for a, b in zip(start, (end[shingle - 1 :] - 1).tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        some = np.array(hashes[lo : lo + (1 << 16)], "<u8")
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(hashes), 1 << 14):
+        some = spread(np.array(hashes[lo : lo + (1 << 14)], np.uint64), words)
+        ones += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and print (the fingerprint as a signed long) of every whole text."""
+def as_lists(prints: np.ndarray) -> pa.Array:
+    """[print, word] as lists of signed longs."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * prints.shape[1], pa.int32()), pa.array(np.ascontiguousarray(prints).view(np.int64).ravel()))
+
+
+def as_words(column: pa.Array, words: int) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, words)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and print (the fingerprint's words as signed longs) of every whole text."""
 
     def run(batches):
         for ids, texts in parts(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([ids, as_lists(np.stack([fingerprint(t, shingle, words) for t in texts]))], names=["doc_id", "print"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, print long")
+    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, print array<long>")
 
 
 def bits_of(prints: np.ndarray) -> np.ndarray:
-    return np.unpackbits(prints.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
 
 
-def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """(fingerprints, how often two bits are set together): 64 x 64 sums, added up by the executors."""
+def bit_counts(prints: DataFrame, words: int) -> tuple[int, np.ndarray]:
+    """(fingerprints, how often two bits are set together): sums of bits squared, added up by the executors."""
+    n_bits = 64 * words
 
     def run(batches):
-        both, n = np.zeros((64, 64)), 0
+        both, n = np.zeros((n_bits, n_bits)), 0
         for b in batches:
-            x = bits_of(b.column(0).to_numpy()).astype(np.float32)
+            x = bits_of(as_words(b.column(0), words)).astype(np.float32)
             both += x.T @ x
             n += len(x)
-        i = np.arange(4097)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([*both.ravel().astype(np.int64), n], pa.int64())], names=["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_bits**2 + 1)), pa.array([*both.ravel().astype(np.int64), n], pa.int64())], names=["i", "n"])
 
-    sums = np.zeros(4097)
-    for i, n in prints.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
-        sums[i] = n
-    return int(sums[4096]), sums[:4096].reshape(64, 64)
+    sums = np.zeros(n_bits**2 + 1)
+    counted = prints.select("print").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    sums[counted["i"].to_numpy()] = counted["n"].to_numpy()
+    return int(sums[-1]), sums[:-1].reshape(n_bits, n_bits)
 
 
 def group_bits(n: int, both: np.ndarray) -> np.ndarray:
-    """M rows of WIDTH bits: the most correlated pairs of bits are put together first."""
+    """Rows of WIDTH bits: the most correlated pairs of bits are put together first."""
+    n_bits = len(both)
     p = np.diag(both) / max(n, 1)
-    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    tie = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
-    groups = [{i} for i in range(64)]
-    of = list(range(64))
-    for i, j in sorted(itertools.combinations(range(64), 2), key=lambda x: (-tie[x], x)):
-        a, b = of[i], of[j]
+    spread_of = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+    tie = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread_of, spread_of)
+    groups = [{i} for i in range(n_bits)]
+    of = list(range(n_bits))
+    left, right = np.triu_indices(n_bits, 1)
+    for k in np.argsort(-tie[left, right], kind="stable").tolist():
+        a, b = of[left[k]], of[right[k]]
         if a != b and len(groups[a]) + len(groups[b]) <= WIDTH:
-            for k in groups[b]:
-                of[k] = a
+            for i in groups[b]:
+                of[i] = a
             groups[a] |= groups[b]
             groups[b] = set()
-    out: list[list[int]] = [[] for _ in range(M)]
+    out: list[list[int]] = [[] for _ in range(n_bits // WIDTH)]
     loose = []
     for k, g in enumerate(sorted((sorted(g) for g in groups if g), key=lambda g: (-len(g), g))):
-        if k < M:
+        if k < len(out):
             out[k] += g
         else:
             loose += g
@@ -129,23 +158,23 @@ def flips() -> list[np.ndarray]:
 def candidate_costs(histogram: np.ndarray) -> np.ndarray:
     """[partition, threshold + 1, value]: fingerprints within the threshold, and the probes made."""
     values = np.arange(1 << WIDTH)
-    out = np.zeros((M, FAR + 2, 1 << WIDTH), np.float32)
-    for k in range(M):
+    out = np.zeros((len(histogram), FAR + 2, 1 << WIDTH), np.float32)
+    for k in range(len(histogram)):
         for t, masks in enumerate(flips()):
             out[k, t + 1] = out[k, t] + sum(histogram[k][values ^ m] for m in masks) + len(masks)
     return out
 
 
 def allocate(values: np.ndarray, costs: np.ndarray, reach: int) -> np.ndarray:
-    """[fingerprint, partition] thresholds that sum to reach - M + 1 with the least cost.
+    """[fingerprint, partition] thresholds that sum to reach - partitions + 1 with the least cost.
 
     Dynamic programming over partitions; a state is the sum of (threshold + 1) so far.
     """
-    total, n = reach + 1, len(values)
+    total, n, m = reach + 1, len(values), values.shape[1]
     best = np.full((n, total + 1), np.inf)
     best[:, 0] = 0
     picks = []
-    for k in range(M):
+    for k in range(m):
         new, pick = np.full((n, total + 1), np.inf), np.zeros((n, total + 1), np.int8)
         for s in range(total + 1):
             for j in range(min(s, FAR + 1) + 1):
@@ -154,8 +183,8 @@ def allocate(values: np.ndarray, costs: np.ndarray, reach: int) -> np.ndarray:
                 new[better, s], pick[better, s] = cost[better], j
         best = new
         picks.append(pick)
-    out, s, rows = np.zeros((n, M), np.int64), np.full(n, total), np.arange(n)
-    for k in range(M - 1, -1, -1):
+    out, s, rows = np.zeros((n, m), np.int64), np.full(n, total), np.arange(n)
+    for k in range(m - 1, -1, -1):
         j = picks[k][rows, s]
         out[:, k], s = j.astype(np.int64) - 1, s - j
     return out
@@ -164,15 +193,15 @@ def allocate(values: np.ndarray, costs: np.ndarray, reach: int) -> np.ndarray:
 def keyed(prints: np.ndarray, groups: np.ndarray, histogram: np.ndarray, costs: np.ndarray, reach: int, refine: int) -> tuple[np.ndarray, ...]:
     """(row, key, data, probe, load): where each fingerprint lies and looks.
 
-    key: partition, value, part and bits of a refined key. load: fingerprints at an unrefined key,
-    -1 at a refined one.
+    key: partition, value, part (0: not refined) and the part's bits, at most 16. load: fingerprints at
+    an unrefined key, -1 at a refined one.
     """
     bits = bits_of(prints)
     values = project(bits, groups)
     limits = allocate(values, costs, reach)
     rows, keys, data, probe, load = [], [], [], [], []
-    for k in range(M):
-        rest = np.concatenate([groups[j] for j in range(M) if j != k]).reshape(4, -1)
+    for k in range(len(groups)):
+        rest = np.array_split(np.delete(groups, k, 0).ravel(), reach + 1)
         for t, masks in enumerate(flips()):
             for mask in masks:
                 at = np.flatnonzero((limits[:, k] >= t) | (t == 0))
@@ -180,15 +209,15 @@ def keyed(prints: np.ndarray, groups: np.ndarray, histogram: np.ndarray, costs:
                 n = histogram[k][v]
                 at, v, n = at[n > 0], v[n > 0], n[n > 0]
                 big = n > refine
-                head = ((k << WIDTH) + v) << 15
+                head = ((k << WIDTH) + v) << 24
                 own, looks = np.full(len(at), t == 0), limits[at, k] >= t
-                for part in range(5):
+                for part in range(len(rest) + 1):
                     take = big if part else ~big
                     if not take.any():
                         continue
                     key = head[take]
                     if part:
-                        key = key + (part << 12) + bits[np.ix_(at[take], rest[part - 1])].astype(np.int64) @ (1 << np.arange(12))
+                        key = key + (part << WIDTH) + bits[np.ix_(at[take], rest[part - 1])].astype(np.int64) @ (1 << np.arange(len(rest[part - 1])))
                     rows.append(at[take])
                     keys.append(key)
                     data.append(own[take])
@@ -197,12 +226,16 @@ def keyed(prints: np.ndarray, groups: np.ndarray, histogram: np.ndarray, costs:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, keys, data, probe, load))
 
 
-def match(data: np.ndarray, probes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions of a probe and a fingerprint that differ in at most `reach` bits, in blocks."""
+def match(data: np.ndarray, probes: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probe, fingerprint) positions that differ in at most `within` bits, a block at a time."""
     a, b = [], []
     step = max(1, (1 << 20) // max(1, len(data)))
     for lo in range(0, len(probes), step):
-        i, j = np.nonzero(np.bitwise_count(probes[lo : lo + step, None] ^ data[None, :]) <= reach)
+        some = probes[lo : lo + step]
+        far = np.bitwise_count(some[:, None, 0] ^ data[None, :, 0]).astype(np.uint16)
+        for k in range(1, data.shape[1]):
+            far += np.bitwise_count(some[:, None, k] ^ data[None, :, k])
+        i, j = np.nonzero(far <= within)
         a.append(i + lo)
         b.append(j)
     return np.concatenate(a), np.concatenate(b)
@@ -228,41 +261,46 @@ def sorted_groups(batches, n_keys: int):
         yield held, np.array([0])
 
 
-def link_prints(prints: DataFrame, reach: int, scratch: Scratch, block: int = 2048, refine: int = 1 << 16) -> DataFrame:
-    """Links (a, b) of a spanning forest of distinct fingerprints (column print) within `reach` bits."""
-    spark = prints.sparkSession
-    if reach + 1 > M * (FAR + 1):
+def link_prints(prints: DataFrame, words: int, reach: int, within: int, scratch: Scratch, block: int = 2048, refine: int = 1 << 16) -> DataFrame:
+    """Links (a, b) of a spanning forest of distinct fingerprints (columns node, print).
+
+    reach: bits up to which every pair is met. within: bits up to which a pair that is met is linked.
+    """
+    spark, m = prints.sparkSession, 64 * words // WIDTH
+    if reach + 1 > m * (FAR + 1):
         raise ValueError("the partitions are too few for this distance")
-    groups = group_bits(*bit_counts(prints))
+    groups = group_bits(*bit_counts(prints, words))
 
     def values(batches):
         for b in batches:
-            v = project(bits_of(b.column(0).to_numpy()), groups)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(M), len(v))), pa.array(v.ravel())], names=["part", "v"])
+            v = project(bits_of(as_words(b.column(0), words)), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(m), len(v))), pa.array(v.ravel())], names=["part", "v"])
 
-    histogram = np.zeros((M, 1 << WIDTH), np.int64)
-    counted = prints.mapInArrow(values, "part long, v long").groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    histogram = np.zeros((m, 1 << WIDTH), np.int64)
+    counted = prints.select("print").mapInArrow(values, "part long, v long").groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).toArrow()
     histogram[counted["part"].to_numpy(), counted["v"].to_numpy()] = counted["n"].to_numpy()
-    table = spark.sparkContext.broadcast((histogram, candidate_costs(histogram)))
+    table = spark.sparkContext.broadcast(histogram.astype(np.int32 if histogram.max(initial=0) < 1 << 31 else np.int64))
 
     def expand(batches):
-        hist, costs = table.value
+        costs = None
         for b in batches:
-            p = b.column(0).to_numpy()
-            for lo in range(0, len(p), 4096):
-                some = p[lo : lo + 4096]
-                row, key, data, probe, load = keyed(some, groups, hist, costs, reach, refine)
+            costs = candidate_costs(table.value) if costs is None else costs
+            node, column = b.column(0).to_numpy(), as_words(b.column(1), words)
+            for lo in range(0, len(column), 4096):
+                some = column[lo : lo + 4096]
+                row, key, data, probe, load = keyed(some, groups, table.value, costs, reach, refine)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some[row], pa.int64()), pa.array(key, pa.int64()), pa.array(data.astype(bool)), pa.array(probe.astype(bool)), pa.array(load, pa.int64())], names=["print", "key", "data", "probe", "load"]
+                    [pa.array(node[lo : lo + 4096][row]), as_lists(some[row]), pa.array(key, pa.int64()), pa.array(data.astype(bool)), pa.array(probe.astype(bool)), pa.array(load.astype(np.int64))],
+                    names=["node", "print", "key", "data", "probe", "load"],
                 )
 
-    rows = prints.select("print").mapInArrow(expand, "print long, key long, data boolean, probe boolean, load long")
+    rows = prints.select("node", "print").mapInArrow(expand, "node long, print array<long>, key long, data boolean, probe boolean, load long")
     if (histogram > refine).any():
         rows = scratch.write(rows)
         big = rows.where("load < 0 and data").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
         rows = rows.join(big, "key", "left").withColumn("load", F.when(F.col("load") >= 0, F.col("load")).otherwise(F.coalesce("n", F.lit(0))))
     blocks = F.greatest(F.ceil(F.col("load") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     cell = lambda x, y, d, p: F.struct(x.alias("x"), y.alias("y"), d.alias("data"), p.alias("probe"))
     cells = F.when(F.col("blocks") == 1, F.array(cell(F.lit(0), F.lit(0), F.col("data"), F.col("probe")))).otherwise(
@@ -271,21 +309,23 @@ def link_prints(prints: DataFrame, reach: int, scratch: Scratch, block: int = 20
             F.when(F.col("probe"), F.transform(every, lambda x: cell(x, own, F.lit(False), F.lit(True)))).otherwise(F.array()),
         )
     )
-    dealt = rows.withColumn("blocks", blocks).select("print", "key", F.explode(cells).alias("c")).select("key", (F.col("c.x") * (1 << 20) + F.col("c.y")).cast("long").alias("cell"), "print", "c.data", "c.probe")
+    dealt = rows.withColumn("blocks", blocks).select("node", "print", "key", F.explode(cells).alias("c")).select(
+        "key", (F.col("c.x").cast("long") * (1 << 20) + F.col("c.y")).alias("cell"), "node", "c.data", "c.probe", *[F.col("print")[k].alias(f"w{k}") for k in range(words)]
+    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "cell"]
 
     def compare(batches):
-        for (_, _, p, data, probe), starts in sorted_groups(batches, 2):
-            a, b = [], []
+        for (_, _, node, data, probe, *w), starts in sorted_groups(batches, 2):
+            a, b, p = [], [], np.stack(w, 1).view(np.uint64)
             for lo, hi in zip(starts, [*starts[1:], len(p)], strict=True):
                 if hi - lo > 1:
-                    x = p[lo:hi]
-                    d, q = x[data[lo:hi]], x[probe[lo:hi]]
+                    d, q = np.flatnonzero(data[lo:hi]) + lo, np.flatnonzero(probe[lo:hi]) + lo
                     if len(d) and len(q):
-                        i, j = match(d, q, reach)
-                        if (other := q[i] != d[j]).any():
-                            u, v = forest(q[i[other]], d[j[other]])
+                        i, j = match(p[d], p[q], within)
+                        u, v = node[q[i]], node[d[j]]
+                        if (other := u != v).any():
+                            u, v = forest(u[other], v[other])
                             a.append(u)
                             b.append(v)
             if a:
@@ -294,19 +334,36 @@ def link_prints(prints: DataFrame, reach: int, scratch: Scratch, block: int = 20
     return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
+def named_prints(found: DataFrame, words: int, reach: int, within: int, scratch: Scratch) -> DataFrame:
+    """print and component_id (smallest doc_id reachable) of the distinct fingerprints of doc_id, print."""
+    node = F.col("print")[0] if words == 1 else F.xxhash64("print")
+    prints = scratch.write(found.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", node))
+    linked = components(link_prints(prints, words, reach, within, scratch), scratch).withColumnRenamed("node", "_node")
+    nodes = prints.join(linked, prints["node"] == linked["_node"], "left").select("print", "least", F.coalesce("component", "node").alias("root"))
+    return nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
+
+
 def simhash_components(docs: DataFrame, reach: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    found = scratch.write(fingerprints(docs, shingle, id_col, text_col))
-    prints = scratch.write(found.groupBy("print").agg(F.min("doc_id").alias("least")))
-    linked = components(link_prints(prints.select("print"), reach, scratch), scratch)
-    nodes = prints.join(linked, prints["print"] == linked["node"], "left").select("print", "least", F.coalesce("component", "print").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("print", "component_id")
-    return found.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, reach: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents (all columns) that are the first of their component; documents with null ids stay."""
-    firsts = simhash_components(docs, reach, shingle, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(firsts, docs[id_col] == firsts["doc_id"], "left_anti")
+    found = scratch.write(fingerprints(docs, shingle, 1, id_col, text_col))
+    named = named_prints(found, 1, reach, reach, scratch)
+    return found.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def bits_apart(similarity: float, words: int) -> int:
+    """Expected bits in which texts of this similarity (shared shingles / all shingles) differ."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * words * float(np.arccos(cosine)) / np.pi)
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents (all columns) that are the first of their group of near copies.
+
+    Documents with null ids stay, and so do all rows of an id that stays.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    found = scratch.write(fingerprints(docs, shingle, words, id_col, text_col))
+    named = named_prints(found, words, 64 * words // WIDTH - 1, bits_apart(similarity, words), scratch)
+    others = found.join(named, "print").where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(others, F.col(id_col) == F.col("_other"), "left_anti")

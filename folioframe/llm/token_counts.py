@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow import by_bytes, narrow, parts
-from .units import Memory, byte_bpe_units, sentencepiece_units
+from .units import Memory, byte_bpe_units, load_tokenizer, sentencepiece_units
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Characters given to the library at once.
@@ -40,11 +40,7 @@ def _counter(path: str):
             return out
 
         return sentencepiece_units, Memory(lengths), lambda t: len(sp.encode(t))
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
+    tok = load_tokenizer(path)
 
     def lengths(units: list[str]) -> list[int]:
         out = []
@@ -58,8 +54,8 @@ def _counter(path: str):
 def count_texts(texts: list[str], path: str) -> list[int]:
     cut, memory, whole = _counter(path)
     units = [cut(t) if t else [] for t in texts]
-    get = memory.look_up([u for u in units if u])
-    return [whole(t) if u is None else sum(map(get, u)) for t, u in zip(texts, units, strict=True)]
+    sizes = memory.look_up([u or [] for u in units])
+    return [whole(t) if u is None else sum(n) for t, u, n in zip(texts, units, sizes, strict=True)]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

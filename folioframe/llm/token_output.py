@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow import narrow, parts
 from .scratch import Scratch
-from .units import Memory, byte_bpe_units
+from .units import Memory, byte_bpe_units, byte_bpe_words, library_ids, load_tokenizer
 
 MAGIC = b"DACS0001"
 #: Bits of a chunk, and bits of a block of the rank directory.
@@ -137,26 +137,12 @@ class Segment:
 
 @functools.lru_cache(maxsize=4)
 def _encoder(path: str) -> Memory:
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    def ids(units: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(units), 10_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(units[lo : lo + 10_000], add_special_tokens=False)]
-        return out
-
-    return Memory(ids, most=500_000)
+    return Memory(library_ids(load_tokenizer(path)), most=500_000, split=byte_bpe_words)
 
 
 def byte_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts by a byte-level BPE, as little-endian unsigned 32-bit integers."""
-    memory, units = _encoder(path), [byte_bpe_units(t) for t in texts]
-    get = memory.look_up(units)
-    return [b"".join(map(get, u)) for u in units]
+    return [b"".join(x) for x in _encoder(path).look_up([byte_bpe_units(t) for t in texts])]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, segment_ids: int = 500_000, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:

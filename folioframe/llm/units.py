@@ -6,8 +6,14 @@ that each distinct unit has to be encoded once per worker and every other place
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable
+from itertools import chain
+
+import regex
 
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
@@ -60,22 +66,78 @@ def sentencepiece_units(text: str) -> list[str] | None:
     return units
 
 
+#: How the two public tokenizers tell words apart.
+BYTE_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PLAIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+_BYTE_WORD, _PLAIN_WORD = regex.compile(BYTE_WORD), regex.compile(PLAIN_WORD)
+
+
+def byte_bpe_words(unit: str) -> list[str]:
+    """Words of a unit; a unit that may hold a special token stays whole."""
+    return [unit] if "<|" in unit else _BYTE_WORD.findall(unit)
+
+
+def plain_words(unit: str) -> list[str]:
+    """Lower-cased words of a unit, for a tokenizer that composes characters, lower-cases and drops
+    white space. Where lower case depends on neighbours, the unit stays whole."""
+    if "<|" in unit or not unit.isascii() and ("Σ" in unit or not unicodedata.is_normalized("NFC", unit)):
+        return [unit]
+    return _PLAIN_WORD.findall(unit.lower())
+
+
 class Memory:
     """Encodings of units; emptied when it holds more than `most`, so its size has a bound."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 700_000, longest: int = 200):
-        self.encode, self.most, self.longest, self.known = encode, most, longest, {}
-
-    def look_up(self, texts: list[list[str]]) -> Callable[[str], object]:
-        """A function from each unit of these texts to its encoding."""
-        units = set().union(*texts)
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(units)
-        self.known.update(zip(new, self.encode(new), strict=True))
-        get = self.known.__getitem__
-        if any(len(u) > self.longest for u in new):
-            once = {u: self.known.pop(u) for u in new if len(u) > self.longest}
-            short = self.known
-            return lambda u: short[u] if u in short else once[u]
-        return get
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 700_000, longest: int = 200, split: Callable[[str], list[str]] | None = None):
+        """split: cuts a unit further, where encodings concatenate too; fewer pieces are distinct than units."""
+        self.encode, self.most, self.longest, self.split, self.known = encode, most, longest, split, {}
+
+    def _encode(self, units: list[str]) -> dict[str, object]:
+        if not self.split:
+            return dict(zip(units, self.encode(units), strict=True))
+        pieces = [self.split(u) for u in units]
+        new = [p for p in set().union(*pieces) if p not in self.known]
+        own = dict(zip(new, self.encode(new), strict=True))
+        get = lambda p: own[p] if p in own else self.known[p]
+        return own | {u: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for u, p in zip(units, pieces, strict=True)}
+
+    def look_up(self, texts: list[list[str]]) -> list[list]:
+        """The encodings of each text's units; unseen units of all texts are encoded together."""
+        units = list(chain.from_iterable(texts))
+        found = list(map(self.known.get, units))
+        unseen = [i for i, v in enumerate(found) if v is None]
+        if unseen:
+            new = self._encode(list({units[i] for i in unseen}))
+            for i in unseen:
+                found[i] = new[units[i]]
+            if len(self.known) + len(new) > self.most:
+                self.known = {}
+            self.known.update((u, v) for u, v in new.items() if len(u) <= self.longest)
+        out, lo = [], 0
+        for t in texts:
+            out.append(found[lo : lo + len(t)])
+            lo += len(t)
+        return out
+
+
+def load_tokenizer(path: str):
+    """A tokenizer of the tokenizers library, without truncation, padding or threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+def library_ids(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    """A function that encodes units with the library, as little-endian unsigned 32-bit ids."""
+
+    def run(units: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(units), 10_000):
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(units[lo : lo + 10_000], add_special_tokens=False)]
+        return out
+
+    return run
