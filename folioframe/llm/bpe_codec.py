@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import narrow, parts
-from .units import BYTE_WORD, Memory, byte_bpe_units
+from .scratch import Scratch
+from .units import Memory, byte_bpe_units, byte_bpe_words, byte_signs, byte_words, special
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = np.iinfo(np.int32).max
@@ -35,13 +36,6 @@ NEVER = np.iinfo(np.int32).max
 WIDE = 32
 
 
-def byte_signs() -> dict[str, int]:
-    """Sign -> byte: printable bytes stand for themselves, the others for code points from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Merges:
     """A byte-level BPE's vocabulary and merges."""
 
@@ -62,7 +56,6 @@ class Merges:
         made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], order.astype(np.int32), made[order]
-        self.word = regex.compile(BYTE_WORD)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +127,13 @@ class Merges:
                     out[i] = ids
         return out
 
-    def pieces(self, unit: str) -> list[str]:
-        """A unit's words and special strings."""
-        if self.split_special and "<" in unit and self.split_special.search(unit):
-            return [p for k, s in enumerate(self.split_special.split(unit)) for p in ([s] if k % 2 else self.word.findall(s))]
-        return self.word.findall(unit)
+    def ids(self, unit: str, merged) -> bytes:
+        """Ids of a unit that may hold special strings; merged: the ids of a word."""
+        parts_of = self.split_special.split(unit) if self.split_special else [unit]
+        out = b""
+        for k, s in enumerate(parts_of):
+            out += np.array([self.special[s]], "<u4").tobytes() if k % 2 else b"".join(map(merged, byte_words(s)))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -261,21 +256,21 @@ class Transducer:
         return np.where((state >= 0) & (self.final[state] > 0) & (n > 0), rank, -1)
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[tuple[str, int]]:
-    """The `most` most frequent words of all texts with their counts; ties by the word.
+def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[str]:
+    """The most frequent words of all texts: those with at least the least count that leaves `most` at most.
 
-    Counts are summed in each task before they are shuffled; the driver gets `most` rows.
+    Counts are summed in each task before they are shuffled; the driver gets how many words have each
+    count, then the words.
     """
 
     def run(batches):
-        m, seen = merges_of(tokenizer), Counter()
+        seen = Counter()
 
         def counted():
             words = Counter()
             for unit, n in seen.items():
-                for w in m.pieces(unit):
-                    if w not in m.special:
-                        words[w] += n
+                for w in byte_bpe_words(unit):
+                    words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
@@ -286,14 +281,21 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[tuple[str
                 yield counted()
         yield counted()
 
-    counts = docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [tuple(r) for r in counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = Scratch(docs.sparkSession, "words").write(docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word").between(1, WIDE)))
+    least, left = None, most
+    for n, words in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        left -= words
+        if left < 0:
+            break
+        least = n
+    return [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()] if least else []
 
 
 def compile_lexicon(words: list[str], tokenizer: str) -> Transducer:
     """A transducer of words with the ids that merging gives them."""
-    raw = sorted({w.encode() for w in words if w})
-    return Transducer.build(raw, merges_of(tokenizer).merge(raw))
+    m = merges_of(tokenizer)
+    raw = sorted({w.encode() for w in words if w and not special(w)})
+    return Transducer.build(raw, m.merge(raw))
 
 
 class Codec:
@@ -301,20 +303,33 @@ class Codec:
 
     def __init__(self, tokenizer: str, lexicon: Transducer, most: int = 500_000):
         self.merges, self.lexicon = merges_of(tokenizer), lexicon
-        self.memory = Memory(self._encode, most)
+        self.memory = Memory(self._encode, most, split=byte_bpe_words)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of words; of units with special strings, by their words."""
+        odd = [i for i, w in enumerate(words) if special(w)]
+        inner = {p for i in odd for k, s in enumerate(self.merges.split_special.split(words[i]) if self.merges.split_special else [words[i]]) if k % 2 == 0 for p in byte_words(s)}
+        skip = set(odd)
+        plain = [i for i in range(len(words)) if i not in skip]
+        extra = list(inner)
+        ids = self._words([words[i] for i in plain] + extra)
+        out: list[bytes] = [b""] * len(words)
+        for i, x in zip(plain, ids, strict=False):
+            out[i] = x
+        merged = dict(zip(extra, ids[len(plain) :], strict=True)).__getitem__
+        for i in odd:
+            out[i] = self.merges.ids(words[i], merged)
+        return out
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        pieces = [self.merges.pieces(u) for u in units]
-        words = [w for w in set().union(*pieces) if w not in self.merges.special]
+    def _words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]
-        ids = {w: np.array([i], "<u4").tobytes() for w, i in self.merges.special.items()}
-        rank, first, all_ids = self.lexicon.ranks(raw), self.lexicon.first, self.lexicon.ids
-        unseen = np.flatnonzero(rank < 0)
+        rank = self.lexicon.ranks(raw)
+        first, data = (4 * self.lexicon.first).tolist(), self.lexicon.ids.tobytes()
+        out = [data[first[r] : first[r + 1]] if r >= 0 else b"" for r in rank.tolist()]
+        unseen = np.flatnonzero(rank < 0).tolist()
         for k, x in zip(unseen, self.merges.merge([raw[k] for k in unseen]), strict=True):
-            ids[words[k]] = x.astype("<u4").tobytes()
-        for k in np.flatnonzero(rank >= 0):
-            ids[words[k]] = all_ids[first[rank[k]] : first[rank[k] + 1]].tobytes()
-        return [b"".join([ids[w] for w in p]) for p in pieces]
+            out[k] = x.astype("<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(x), "<u4") for x in self.memory.look_up([byte_bpe_units(t) for t in texts])]
@@ -336,7 +351,7 @@ def _codec(tokenizer: str, key: str, broadcast) -> Codec:
 def lexicon_codec(docs: DataFrame, tokenizer: str, lexicon: int = 50_000, id_col: str = "doc_id", text_col: str = "text"):
     """(narrowed documents, function that gives a worker's Codec): the lexicon comes from all texts."""
     narrowed = narrow(docs, id_col, text_col)
-    data = compile_lexicon([w for w, _ in frequent_words(narrowed, tokenizer, lexicon)], tokenizer).to_bytes()
+    data = compile_lexicon(frequent_words(narrowed, tokenizer, lexicon), tokenizer).to_bytes()
     key, broadcast = hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
     return narrowed, lambda: _codec(tokenizer, key, broadcast)
 

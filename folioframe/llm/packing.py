@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .arrow import narrow, parts
-from .units import Memory, library_ids, load_tokenizer, plain_words, spaceless_units
+from .units import Memory, library_ids, load_tokenizer, plain_words, spaceless_units, special_or_uneven
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -139,7 +139,7 @@ class Packer:
 
 @functools.lru_cache(maxsize=4)
 def _encoder(path: str) -> Memory:
-    return Memory(library_ids(load_tokenizer(path)), most=500_000, split=plain_words)
+    return Memory(library_ids(load_tokenizer(path), special_or_uneven), split=plain_words)
 
 
 def word_ids(texts: list[str], path: str) -> list[np.ndarray]:

@@ -85,7 +85,8 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(windows, covered)).cast("long")
 
 
-def features(docs: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def features(docs: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col: str, source_col: str, carry: bool = False) -> DataFrame:
+    """Counts and metrics of each document; carry: with the whole row in _row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counts = F.transform(
@@ -104,7 +105,8 @@ def features(docs: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         counts.alias("c"),
-    ).select("doc_id", "lang", "source", "n_symbols", "c.*")
+        *([F.struct("*").alias("_row")] if carry else []),
+    ).select("doc_id", "lang", "source", "n_symbols", "c.*", *(["_row"] if carry else []))
     share = lambda a, b, unit: F.expr(f"{a} * {unit} div greatest({b}, 1)")
     return out.withColumns(
         {
@@ -152,22 +154,44 @@ def thresholds(sketches: DataFrame, rules: Rules) -> DataFrame:
     return joined.select(*out)
 
 
-def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, counts, base_failed, kept of every whole text; further columns: the metrics and thresholds."""
-    rules = rules or Rules()
-    found = Scratch(docs.sparkSession, "quality-rules").write(features(docs, rules, id_col, text_col, lang_col, source_col))
-    fence = thresholds(sketch(found, ["lang", "source"]), rules)
+def judged(found: DataFrame, fence: DataFrame, rules: Rules) -> DataFrame:
+    """The features with their group's thresholds and `kept`."""
     fits = ~F.col("base_failed")
     for m, low, high in rules.bounds:
         if low is not None:
             fits &= F.col(m) >= F.coalesce(f"{m}_min", F.lit(low).cast("long"))
         if high is not None:
             fits &= F.col(m) <= F.coalesce(f"{m}_max", F.lit(high).cast("long"))
-    same = F.col("f.lang").eqNullSafe(F.col("t.lang")) & F.col("f.source").eqNullSafe(F.col("t.source"))
+    t = fence.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    return found.join(t, same, "left").withColumn("kept", fits).drop("_lang", "_source")
+
+
+def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """doc_id, counts, base_failed, kept of every whole text; further columns: the metrics and thresholds."""
+    rules = rules or Rules()
+    found = Scratch(docs.sparkSession, "quality-rules").write(features(docs, rules, id_col, text_col, lang_col, source_col))
+    fence = thresholds(sketch(found, ["lang", "source"]), rules)
     limits = [c for c in fence.columns if c not in ("lang", "source")]
-    return found.alias("f").join(fence.alias("t"), same, "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fits.alias("kept"), *[m for m, _, _ in rules.bounds], *limits
-    )
+    return judged(found, fence, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[m for m, _, _ in rules.bounds], *limits)
+
+
+#: Groups whose thresholds may be broadcast (about 100 bytes each).
+BROADCAST_GROUPS = 20_000
+
+
+def keep_fit(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents (all columns) that pass.
+
+    Features are computed once for the sketches and again, beside the texts, for the filter: cheaper
+    than moving texts. The thresholds are broadcast if they are few, else joined by key.
+    """
+    rules, scratch = rules or Rules(), Scratch(docs.sparkSession, "quality-filter")
+    names = (id_col, text_col, lang_col, source_col)
+    fence = scratch.write(thresholds(sketch(features(docs, rules, *names), ["lang", "source"]), rules))
+    if fence.count() <= BROADCAST_GROUPS:
+        fence = F.broadcast(fence)
+    return judged(features(docs, rules, *names, carry=True), fence, rules).where("kept").select("_row.*")
 
 
 ORACLE_SQL = """

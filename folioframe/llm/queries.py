@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import embedding_dedup, quality_rules
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """A public tokenizer's file; every operator takes such a path as a parameter."""
     import public_tokenizers
 
@@ -23,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    return token_counts(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
 
-    return token_output(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return token_output(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import round_trip
 
-    return round_trip(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return round_trip(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow import narrow, parts
 from .scratch import Scratch
-from .units import Memory, byte_bpe_units, byte_bpe_words, library_ids, load_tokenizer
+from .units import Memory, byte_bpe_units, byte_bpe_words, library_ids, load_tokenizer, special
 
 MAGIC = b"DACS0001"
 #: Bits of a chunk, and bits of a block of the rank directory.
@@ -137,7 +137,7 @@ class Segment:
 
 @functools.lru_cache(maxsize=4)
 def _encoder(path: str) -> Memory:
-    return Memory(library_ids(load_tokenizer(path)), most=500_000, split=byte_bpe_words)
+    return Memory(library_ids(load_tokenizer(path), special), split=byte_bpe_words)
 
 
 def byte_ids(texts: list[str], path: str) -> list[bytes]:

@@ -69,37 +69,86 @@ def sentencepiece_units(text: str) -> list[str] | None:
 #: How the two public tokenizers tell words apart.
 BYTE_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+_MARKS = tuple(".,;:!?")
 _BYTE_WORD, _PLAIN_WORD = regex.compile(BYTE_WORD), regex.compile(PLAIN_WORD)
 
 
-def byte_bpe_words(unit: str) -> list[str]:
-    """Words of a unit; a unit that may hold a special token stays whole."""
-    return [unit] if "<|" in unit else _BYTE_WORD.findall(unit)
+def special(unit: str) -> bool:
+    """Whether a unit may hold a special token's string."""
+    return "<|" in unit
 
 
-def plain_words(unit: str) -> list[str]:
-    """Lower-cased words of a unit, for a tokenizer that composes characters, lower-cases and drops
-    white space. Where lower case depends on neighbours, the unit stays whole."""
-    if "<|" in unit or not unit.isascii() and ("Σ" in unit or not unicodedata.is_normalized("NFC", unit)):
+def special_or_uneven(unit: str) -> bool:
+    """Whether a unit may hold a special token's string or characters whose composition or lower case depends
+    on their neighbours."""
+    return "<|" in unit or not unit.isascii() and ("Σ" in unit or not unicodedata.is_normalized("NFC", unit))
+
+
+def byte_words(text: str) -> list[str]:
+    """Words of any text without special tokens."""
+    return _BYTE_WORD.findall(text)
+
+
+def byte_bpe_words(unit: str) -> list[str]:
+    """Words of a unit; an odd unit stays whole."""
+    body = unit[1:] if unit[:1] == " " else unit
+    if body.isalpha():
         return [unit]
-    return _PLAIN_WORD.findall(unit.lower())
+    if unit[-1:] in _MARKS and body[:-1].isalpha():
+        return [unit[:-1], unit[-1]]
+    return [unit] if special(unit) else _BYTE_WORD.findall(unit)
 
 
-class Memory:
-    """Encodings of units; emptied when it holds more than `most`, so its size has a bound."""
+def plain_words(unit: str) -> list[str]:
+    """Words of a unit for a tokenizer that composes characters, lower-cases and drops white space; an odd
+    unit stays whole."""
+    if unit.isascii() or "Σ" not in unit and unicodedata.is_normalized("NFC", unit):
+        low = unit.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1:] in _MARKS and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        if not special(unit):
+            return _PLAIN_WORD.findall(low)
+    return [unit]
+
+
+def byte_signs() -> dict[str, int]:
+    """Sign -> byte: printable bytes stand for themselves, the others for code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 700_000, longest: int = 200, split: Callable[[str], list[str]] | None = None):
-        """split: cuts a unit further, where encodings concatenate too; fewer pieces are distinct than units."""
-        self.encode, self.most, self.longest, self.split, self.known = encode, most, longest, split, {}
 
-    def _encode(self, units: list[str]) -> dict[str, object]:
-        if not self.split:
-            return dict(zip(units, self.encode(units), strict=True))
-        pieces = [self.split(u) for u in units]
-        new = [p for p in set().union(*pieces) if p not in self.known]
-        own = dict(zip(new, self.encode(new), strict=True))
-        get = lambda p: own[p] if p in own else self.known[p]
-        return own | {u: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for u, p in zip(units, pieces, strict=True)}
+class Memory:
+    """Encodings of units. The last `most` and the `most` before them are kept, so its size has a bound."""
+
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000, longest: int = 200, split: Callable[[str], list[str]] | None = None):
+        """split: cuts a unit further, where encodings concatenate too; fewer pieces are distinct than units.
+        Units of more than `longest` characters are not kept."""
+        self.encode, self.most, self.longest, self.split = encode, most, longest, split or (lambda u: [u])
+        self.known: dict[str, object] = {}
+        self.before: dict[str, object] = {}
+
+    def _learn(self, units: set[str]) -> None:
+        known, before, new, cut = self.known, self.before, set(), {}
+        for u in units:
+            if (v := before.get(u)) is not None:
+                known[u] = v
+                continue
+            pieces = self.split(u)
+            if len(pieces) != 1 or pieces[0] != u:
+                cut[u] = pieces
+            for p in pieces:
+                if p not in known:
+                    if (v := before.get(p)) is not None:
+                        known[p] = v
+                    else:
+                        new.add(p)
+        own = list(new)
+        known.update(zip(own, self.encode(own), strict=True))
+        for u, pieces in cut.items():
+            known[u] = b"".join([known[p] for p in pieces])
 
     def look_up(self, texts: list[list[str]]) -> list[list]:
         """The encodings of each text's units; unseen units of all texts are encoded together."""
@@ -107,12 +156,15 @@ class Memory:
         found = list(map(self.known.get, units))
         unseen = [i for i, v in enumerate(found) if v is None]
         if unseen:
-            new = self._encode(list({units[i] for i in unseen}))
+            new = {units[i] for i in unseen}
+            self._learn(new)
+            known = self.known
             for i in unseen:
-                found[i] = new[units[i]]
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-            self.known.update((u, v) for u, v in new.items() if len(u) <= self.longest)
+                found[i] = known[units[i]]
+            if max(map(len, new)) > self.longest:
+                self.known = known = {u: v for u, v in known.items() if len(u) <= self.longest}
+            if len(known) > self.most:
+                self.known, self.before = {}, known
         out, lo = [], 0
         for t in texts:
             out.append(found[lo : lo + len(t)])
@@ -131,13 +183,16 @@ def load_tokenizer(path: str):
     return tok
 
 
-def library_ids(tokenizer) -> Callable[[list[str]], list[bytes]]:
-    """A function that encodes units with the library, as little-endian unsigned 32-bit ids."""
+def library_ids(tokenizer, odd: Callable[[str], bool]) -> Callable[[list[str]], list[bytes]]:
+    """A function that encodes words with the library, as little-endian unsigned 32-bit ids.
 
-    def run(units: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(units), 10_000):
-            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(units[lo : lo + 10_000], add_special_tokens=False)]
-        return out
+    A word goes to the library's model at once; what is `odd` goes through all of its steps.
+    """
+    signs, merge = {b: c for c, b in byte_signs().items()}, tokenizer.model.tokenize
+
+    def ids(word: str):
+        if odd(word):
+            return tokenizer.encode(word, add_special_tokens=False).ids
+        return [t.id for t in merge(word.encode().decode("latin-1").translate(signs))]
 
-    return run
+    return lambda words: [array("I", ids(w)).tobytes() for w in words]
