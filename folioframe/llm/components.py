@@ -9,7 +9,6 @@ but a count and a checksum that tell when the links no longer change.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +33,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def _shrink(batches):
-    """Each batch of links as the stars of its own components: never more links than nodes."""
-    for batch in batches:
-        if batch.num_rows:
-            hi, lo = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["hi", "lo"])
-
-
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (its smallest node) of every node that a link names, but for the smallest nodes.
 
     links: two columns of longs without nulls; direction, repetition and loops don't matter.
     """
     a, b = (F.col(c) for c in links.columns)
-    now = scratch.write(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").mapInArrow(_shrink, "hi long, lo long").distinct())
+    now = scratch.write(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct())
     last = None
     while True:
         both = now.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(now.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
