@@ -1,0 +1,6 @@
+"""Queries of the operators, with the SQL that checks them."""
+
+from . import boxes, lines  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
