@@ -4,6 +4,8 @@ A shard's transform comes from its sorted suffixes. Shards are merged without so
 an interleave says which shard each place of the merged transform comes from; passing it through the
 merged transform once makes it right for one more symbol. The round in which two neighbours part is
 their common prefix, and the blocks that never part are the repeated intervals.
+
+Strings are lists of positive numbers; 0 stands for an end.
 """
 
 from __future__ import annotations
@@ -14,41 +16,48 @@ import numpy as np
 
 
 @dataclass
-class Shard:
-    """bwt: the symbol before each sorted suffix, 0 before a string's first; string, offset: of the suffix."""
+class Shards:
+    """Transforms one after another. bwt: the symbol before each sorted suffix, 0 before a string's first;
+    string, offset: of the suffix; sizes, strings: of each shard."""
 
     bwt: np.ndarray
     string: np.ndarray
     offset: np.ndarray
-    strings: int
+    sizes: np.ndarray
+    strings: np.ndarray
+
 
-    @classmethod
-    def build(cls, strings: list[str], first: int = 0) -> Shard:
-        """Strings are numbered from `first`; code point 0 must not occur. Ends sort first, by string."""
-        order = sorted((s[i:], k, i) for k, s in enumerate(strings) for i in range(len(s) + 1))
-        return cls(
-            np.array([ord(strings[k][i - 1]) if i else 0 for _, k, i in order], np.uint32),
-            np.array([first + k for _, k, _ in order], np.int64),
-            np.array([i for _, _, i in order], np.int64),
-            len(strings),
-        )
+def transform(strings: list[list[int]], per_shard: int) -> Shards:
+    """The transforms of shards of `per_shard` strings each. Ends sort first, by string."""
+    sizes = np.array([len(s) + 1 for s in strings])
+    string, last = np.repeat(np.arange(len(strings)), sizes), np.cumsum(sizes) - 1
+    symbols = np.array([x for s in strings for x in (*s, 0)], np.int64)
+    place = np.arange(len(symbols)) - np.repeat(last + 1 - sizes, sizes)
+    before = np.concatenate(([0], symbols[:-1]))
+    shard = string // per_shard
+    # Suffixes of one string whose symbols differ are in the order of their first symbols.
+    order = np.lexsort((symbols, string))
+    again = np.flatnonzero((symbols[order][1:] == symbols[order][:-1]) & (string[order][1:] == string[order][:-1]))
+    if per_shard > 1 or len(again):
+        order = np.array(sorted(range(len(symbols)), key=lambda i: (shard[i], strings[string[i]][place[i] :], string[i])), np.int64)
+    groups = np.arange(-(-len(strings) // per_shard))
+    return Shards(before[order], string[order], place[order], np.bincount(shard, minlength=len(groups)), np.minimum(per_shard, len(strings) - groups * per_shard))
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: Shards, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, common prefix with the suffix before) of all suffixes in merged order.
 
     Common prefixes are exact below `depth` and `depth` otherwise; an end equals any other end.
     """
-    sizes = np.array([len(s.bwt) for s in shards])
-    n, symbols = int(sizes.sum()), np.concatenate([s.bwt for s in shards])
-    _, symbols = np.unique(symbols, return_inverse=True)
-    symbols = symbols.astype(np.uint16)
-    ends = np.repeat(np.arange(len(shards)), [s.strings for s in shards]).astype(np.uint16)
-    source, block = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16), np.zeros(n, np.int64)
-    common = np.full(n + 1, depth, np.int64)
+    n, kind = len(shards.bwt), np.uint16 if len(shards.sizes) < 1 << 16 else np.uint32
+    _, symbols = np.unique(shards.bwt, return_inverse=True)
+    symbols = symbols.astype(np.uint16 if symbols.max(initial=0) < 1 << 16 else np.uint32)
+    ends = np.repeat(np.arange(len(shards.sizes)), shards.strings).astype(kind)
+    source, block = np.repeat(np.arange(len(shards.sizes)), shards.sizes).astype(kind), np.zeros(n, np.int64)
+    common, known = np.full(n + 1, depth, np.int64), 0
     common[0] = common[n] = 0
     for h in range(depth):
-        merged = np.empty(n, np.uint16)
+        merged = np.empty(n, symbols.dtype)
         merged[np.argsort(source, kind="stable")] = symbols
         moved = np.argsort(merged, kind="stable")
         source, before, symbol = source[moved], block[moved], merged[moved]
@@ -61,15 +70,15 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
             break
         known = len(at)
     place = np.argsort(np.argsort(source, kind="stable"), kind="stable")
-    return np.concatenate([s.string for s in shards])[place], np.concatenate([s.offset for s in shards])[place], common
+    return shards.string[place], shards.offset[place], common
 
 
-def longest_elsewhere(strings: list[str], depth: int, shard: int = 64) -> list[np.ndarray]:
+def longest_elsewhere(strings: list[list[int]], depth: int, per_shard: int = 1) -> list[np.ndarray]:
     """For each string and offset the longest prefix, at most `depth`, shared with another suffix."""
-    shards = [Shard.build(strings[lo : lo + shard], lo) for lo in range(0, len(strings), shard)]
-    string, offset, common = merge(shards, depth)
-    out = [np.zeros(len(s) + 1, np.int64) for s in strings]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in out])))
+    if not strings:
+        return []
+    string, offset, common = merge(transform(strings, per_shard), depth)
+    first = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])))
     flat = np.zeros(first[-1], np.int64)
     flat[first[string] + offset] = np.maximum(common[:-1], common[1:])
     return [flat[a:b] for a, b in zip(first, first[1:], strict=False)]

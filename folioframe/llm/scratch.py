@@ -34,7 +34,7 @@ class Scratch:
         """The table, written once and read from there."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

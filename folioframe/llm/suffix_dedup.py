@@ -8,9 +8,10 @@ strings together without sorting all suffixes of all texts in one place:
    length - width + 1 bytes from the anchor on. Only anchors whose core occurs twice go on.
 2. Anchors with the same core form a group. An anchor's context is its core with the bytes around it
    that its strings reach; a context that occurs twice repeats whole.
-3. Within a group, contexts are strings of bytes around one symbol for what all of them share; bytes
-   past the longest match with any other context can't repeat and are left out. Shards of contexts
-   are transformed, the transforms merged (`bwt`), and the common prefixes say which strings repeat.
+3. Within a group, contexts are strings of symbols around one for what all of them share; a symbol is
+   a run of bytes up to where contexts part, and bytes past the longest match with any other context
+   can't repeat and are left out. Shards of contexts are transformed, the transforms merged (`bwt`),
+   and the common prefixes say which strings repeat.
 
 Groups are bounded: one with more than `most` contexts is split, exactly, by the distance a. A
 narrower range of distances has a longer core and shorter contexts; a range of one distance has
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_left
 from itertools import pairwise
 
 import numpy as np
@@ -93,33 +95,68 @@ def common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def reaches(flanks: list[bytes]) -> tuple[int, list[int]]:
-    """(prefix that all share, longest prefix that each shares with another)."""
+def branches(flanks: list[bytes], number: int) -> tuple[list[tuple[list[int], list[int]]], int]:
+    """Where each flank parts from others: (depths, branches) on its path in the flanks' trie, and the next
+    free number. The last depth is the longest prefix that another flank has."""
     order = sorted(range(len(flanks)), key=flanks.__getitem__)
-    near = [0, *(common(flanks[a], flanks[b]) for a, b in pairwise(order)), 0]
-    most = [0] * len(flanks)
-    for k, i in enumerate(order):
-        most[i] = max(near[k], near[k + 1])
-    return common(flanks[order[0]], flanks[order[-1]]), most
-
-
-def repeated_ranges(contexts: list[tuple[bytes, bytes, int, int]], width: int) -> list[list[tuple[int, int]]]:
-    """Of each distinct context (left, right, least and greatest distance): ranges of distances of
-    strings that another context has too. Distances count from the core's first byte."""
-    all_left, left = reaches([c[0][::-1] for c in contexts])
-    all_right, right = reaches([c[1] for c in contexts])
-    core = chr(256)
-    text = lambda b: b.decode("latin-1").replace("\0", chr(257))
-    strings = [text(c[0][len(c[0]) - x : len(c[0]) - all_left]) + core + text(c[1][all_right:y]) for c, x, y in zip(contexts, left, right, strict=True)]
-    shared = longest_elsewhere(strings, max(map(len, strings)))
+    near = [0, *(common(flanks[a], flanks[b]) for a, b in pairwise(order))]
+    out: list[tuple[list[int], list[int]]] = [([], [])] * len(flanks)
+    todo: list[tuple[int, int, list[int], list[int]]] = [(0, len(flanks), [], [])]
+    while todo:
+        lo, hi, depths, names = todo.pop()
+        if hi - lo == 1:
+            out[order[lo]] = depths, names
+            continue
+        depth = min(near[lo + 1 : hi])
+        depths, names, number = [*depths, depth], [*names, number], number + 1
+        cuts = [lo, *(k for k in range(lo + 1, hi) if near[k] == depth), hi]
+        todo += [(x, y, depths, names) for x, y in pairwise(cuts)]
+    return out, number
+
+
+def repeated_ranges(groups: list[list[tuple[bytes, bytes, int, int]]], width: int) -> list[list[list[tuple[int, int]]]]:
+    """Of each group's distinct contexts (left, right, least and greatest distance): ranges of distances of
+    strings that another context of the group has too. Distances count from the core's first byte.
+
+    A context becomes a string of symbols: the branches of its left bytes from the farthest inwards, one
+    symbol for what all contexts of the group share, the branches of its right bytes outwards. Bytes
+    between two branches are shared alike, so a string that ends among them needs the whole symbol.
+    """
+    number, made = 1, []
+    for group in groups:
+        left, number = branches([c[0][::-1] for c in group], number)
+        right, number = branches([c[1] for c in group], number)
+        core = number
+        number += 1
+        made.append(([[*x[1][:0:-1], core, *y[1][1:]] for x, y in zip(left, right, strict=True)], [(x[0], y[0]) for x, y in zip(left, right, strict=True)]))
+    # Groups share no symbol; those with strings of like lengths are merged together.
+    alike: dict[int, list[int]] = {}
+    for k, (strings, _) in enumerate(made):
+        alike.setdefault(max(map(len, strings)).bit_length(), []).append(k)
+    answers: dict[int, list] = {}
+    for some in alike.values():
+        strings = [x for k in some for x in made[k][0]]
+        found = iter(longest_elsewhere(strings, max(map(len, strings))))
+        for k in some:
+            answers[k] = [(shape, next(found)) for shape in made[k][1]]
+    shared = iter([x for k in range(len(groups)) for x in answers[k]])
     out = []
-    for (_, _, lo, hi), x, y, found in zip(contexts, left, right, shared, strict=True):
-        a = np.arange(lo, hi + 1)
-        before, after = np.maximum(a - all_left, 0), np.maximum(width - 1 - a - all_right, 0)
-        fits = (before <= x - all_left) & (after <= y - all_right)
-        fits[fits] = found[(x - all_left) - before[fits]] >= (before + 1 + after)[fits]
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], fits.view(np.int8), [0])))).reshape(-1, 2)
-        out.append([(int(a[s]), int(a[e - 1])) for s, e in edge])
+    for group in groups:
+        out.append([])
+        for _, _, a, hi in group:
+            (l_depths, r_depths), found = next(shared)
+            ranges: list[list[int]] = []
+            a = max(a, width - 1 - r_depths[-1])
+            while a <= min(hi, l_depths[-1]):
+                i, j = bisect_left(l_depths, a), bisect_left(r_depths, width - 1 - a)
+                end = min(hi, l_depths[i], width - 2 - r_depths[j - 1] if j else hi)
+                if found[len(l_depths) - 1 - i] >= i + 1 + j:
+                    if ranges and ranges[-1][1] == a - 1:
+                        ranges[-1][1] = end
+                    else:
+                        ranges.append([a, end])
+                a = end + 1
+            out[-1].append([(x, y) for x, y in ranges])
     return out
 
 
@@ -146,8 +183,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def packed(at, near, far):
+    """A byte and its least and greatest distance (below 512) as one number."""
+    return at * (1 << 18) + near * (1 << 9) + far
+
+
+def unpacked(place: int) -> tuple[int, int, int]:
+    return place >> 18, place >> 9 & 511, place & 511
+
+
 def find_anchors(texts: DataFrame, length: int, width: int) -> DataFrame:
-    """core (hash), rid, at, near, far (distances) of the anchors of texts (rid, text)."""
+    """core (hash), rid, place (see `packed`) of the anchors of texts (rid, text)."""
 
     def run(batches):
         for b in batches:
@@ -162,19 +208,17 @@ def find_anchors(texts: DataFrame, length: int, width: int) -> DataFrame:
                 size += len(found[0])
                 if size > 100_000 or i == b.num_rows - 1 and size:
                     at, near, far = (np.concatenate(x) for x in zip(*columns, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(row, pa.int64()), pa.array(at), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32))], names=["core", "rid", "at", "near", "far"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(row, pa.int64()), pa.array(packed(at, near, far))], names=["core", "rid", "place"])
                     core, row, columns, size = [], [], [], 0
 
-    return texts.mapInArrow(run, "core long, rid long, at long, near int, far int")
+    return texts.mapInArrow(run, "core long, rid long, place long")
 
 
 _CONTEXT = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("context", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
 def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> DataFrame:
-    """Each item (rid, at, near, far), cut into ranges of `width` distances, with its core's 128-bit and
+    """Each item (rid, place), cut into ranges of `width` distances, with its core's 128-bit and
     its context's 64-bit hash; at: the core's first byte, which distances count from. A task gives the
     bytes around the core with a context's first item alone."""
 
@@ -184,9 +228,9 @@ def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> Dat
         def rows():
             for b, i, data in _texts(batches):
                 rid = b.column("rid")[i].as_py()
-                for item in b.column("items")[i].as_py():
-                    for p in range(item["near"] // width * width, item["far"] + 1, width):
-                        near, far, at = max(item["near"] - p, 0), min(item["far"] - p, width - 1), item["at"] - p
+                for start, least, most in map(unpacked, b.column("items")[i].as_py()):
+                    for p in range(least // width * width, most + 1, width):
+                        near, far, at = max(least - p, 0), min(most - p, width - 1), start - p
                         end = at + length - width + 1
                         left, right = data[max(0, at - width + 1) : at], data[end : end + width - 1]
                         core = xxhash.xxh3_128_intdigest(data[at:end])
@@ -200,7 +244,7 @@ def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> Dat
 
         yield from _in_batches(rows(), _CONTEXT)
 
-    lists = items.groupBy("rid").agg(F.collect_set(F.struct("at", "near", "far")).alias("items"))
+    lists = items.groupBy("rid").agg(F.collect_set("place").alias("items"))
     return texts.join(lists, "rid").select("rid", "text", "items").mapInArrow(run, "hi long, lo long, context long, rid long, at long, near int, far int, left binary, right binary")
 
 
@@ -211,16 +255,25 @@ def merged_ranges(rows: DataFrame, width: int) -> DataFrame:
     """hi, lo, context, near, far: distances whose strings two contexts of a group share."""
 
     def run(batches):
+        def answers(groups: list[tuple[list[tuple], list[tuple]]]):
+            for (keys, _), ranges in zip(groups, repeated_ranges([g for _, g in groups], width), strict=True):
+                for key, some in zip(keys, ranges, strict=True):
+                    for x, y in some:
+                        yield (*key, x, y)
+
         def found():
+            groups, size = [], 0
             for cols, starts in sorted_groups(batches, 2):
                 hi, lo, context, near, far, left, right = (c.tolist() for c in cols)
                 for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(hi)], strict=True):
                     first = {context[i]: i for i in range(a, b)}
                     if len(first) > 1:
-                        some = list(first.values())
-                        for i, ranges in zip(some, repeated_ranges([(left[i], right[i], near[i], far[i]) for i in some], width), strict=True):
-                            for x, y in ranges:
-                                yield hi[i], lo[i], context[i], x, y
+                        groups.append(([(hi[i], lo[i], c) for c, i in first.items()], [(left[i], right[i], near[i], far[i]) for i in first.values()]))
+                        size += len(first)
+                    if size > 4096:
+                        yield from answers(groups)
+                        groups, size = [], 0
+            yield from answers(groups)
 
         yield from _in_batches(found(), _RANGE)
 
@@ -230,11 +283,14 @@ def merged_ranges(rows: DataFrame, width: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """rid, begin, end of strings of `length` bytes that also start elsewhere, as overlapping spans."""
+    if width > 512:
+        raise ValueError("distances are packed in nine bits")
     found = scratch.write(find_anchors(texts, length, width))
     twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    items, out = found.join(twice, "core").select("rid", "at", "near", "far"), []
+    items, used, out = found.join(twice, "core").select("rid", "place"), [found], []
     for size in (width, *FINER):
         rows = scratch.write(contexts(texts, items, length, size))
+        scratch.drop(*used)
         scratch.release()
         per = rows.groupBy(*KEY, "context").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("near"), F.max("far").alias("far"))
         large = scratch.write(per.groupBy(*KEY).agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > (most if size > 1 else 1 << 62)).select(*KEY))
@@ -245,9 +301,11 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, wid
         keys = [*KEY, "context"]
         spans = rows.select(*keys, "rid", "at").join(ranges, keys).select("rid", (F.col("at") - F.col("far")).alias("begin"), (F.col("at") - F.col("near") + length).alias("end"))
         out.append(scratch.write(spans))
+        used = [rows, ranges, large]
         if not split:
             break
-        items = rows.join(large, KEY, "left_semi").select("rid", "at", "near", "far")
+        items = rows.join(large, KEY, "left_semi").select("rid", packed(F.col("at"), F.col("near").cast("long"), F.col("far").cast("long")).alias("place"))
+    scratch.drop(*used)
     scratch.release()
     spans = out[0]
     for more in out[1:]:
