@@ -365,5 +365,5 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words:
     scratch = Scratch(docs.sparkSession, "near-copies")
     found = scratch.write(fingerprints(docs, shingle, words, id_col, text_col))
     named = named_prints(found, words, 64 * words // WIDTH - 1, bits_apart(similarity, words), scratch)
-    others = found.join(named, "print").where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col(id_col) == F.col("_other"), "left_anti")
+    others = found.join(named, "print").where("doc_id <> component_id").select(F.col("doc_id").alias("_near_copy")).distinct()
+    return docs.join(others, F.col(id_col) == F.col("_near_copy"), "left_anti")

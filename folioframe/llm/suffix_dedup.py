@@ -329,13 +329,13 @@ def remaining(data: bytes, runs: list[list[int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, width: int, most: int) -> DataFrame:
-    """The documents with rid, text and spans."""
+    """The documents with _repeat_spans."""
     scratch = Scratch(docs.sparkSession, "repeats")
     rid = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(rid.alias("rid"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(texts, scratch, length, width, most)
-    lists = spans.groupBy("rid").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumnRenamed("rid", "_rid")
-    return docs.withColumn("_own", rid).join(lists, F.col("_own") == F.col("_rid"), "left").drop("_own", "_rid")
+    lists = spans.groupBy("rid").agg(F.collect_set(F.struct("begin", "end")).alias("_repeat_spans")).withColumnRenamed("rid", "_repeat_rid")
+    return docs.withColumn("_repeat_own", rid).join(lists, F.col("_repeat_own") == F.col("_repeat_rid"), "left").drop("_repeat_own", "_repeat_rid")
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,13 +346,13 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mos
     def run(batches):
         def rows():
             for b, i, data in _texts(batches):
-                runs = united([(s["begin"], s["end"]) for s in b.column("spans")[i].as_py() or ()])
+                runs = united([(s["begin"], s["end"]) for s in b.column("_repeat_spans")[i].as_py() or ()])
                 kept = remaining(data, runs)
                 yield b.column("doc_id")[i].as_py(), len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
 
         yield from _in_batches(rows(), kind)
 
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_repeat_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,6 +375,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([cut(b.column(n), b.column("spans")) if n == text_col else b.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([cut(b.column(n), b.column("_repeat_spans")) if n == text_col else b.column(n) for n in names], names=names)
 
-    return found.select(*names, "spans").mapInArrow(run, docs.schema)
+    return found.select(*names, "_repeat_spans").mapInArrow(run, docs.schema)
