@@ -63,11 +63,14 @@ class Packer:
         adds 2 N(h + n) + 1; full windows don't count.
         """
         at = np.flatnonzero(self.level[: self.size - n + 1])
-        to = 2 * self.level + 1
-        to[self.size] = 0
-        growth = np.concatenate((to[at + n] - 2 * self.level[at] + 1, to[n : n + 1]))
-        best = np.flatnonzero(growth == growth.min())
-        return max((int(at[i]) for i in best if i < len(at)), default=0)
+        apart = 2 * int(self.level[n]) + 1 if n < self.size else 0
+        if not len(at):
+            return 0
+        growth = 2 * (self.level[at + n] - self.level[at]) + 2
+        if at[-1] + n == self.size:
+            growth[-1] = 1 - 2 * self.level[at[-1]]
+        least = growth.min()
+        return int(at[np.flatnonzero(growth == least)[-1]]) if least <= apart else 0
 
     def _close(self, window: list[Piece], fill: int) -> None:
         if fill == self.size:

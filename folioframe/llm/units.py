@@ -123,7 +123,7 @@ def byte_signs() -> dict[str, int]:
 class Memory:
     """Encodings of units. The last `most` and the `most` before them are kept, so its size has a bound."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000, longest: int = 200, split: Callable[[str], list[str]] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 900_000, longest: int = 200, split: Callable[[str], list[str]] | None = None):
         """split: cuts a unit further, where encodings concatenate too; fewer pieces are distinct than units.
         Units of more than `longest` characters are not kept."""
         self.encode, self.most, self.longest, self.split = encode, most, longest, split or (lambda u: [u])
@@ -190,9 +190,16 @@ def library_ids(tokenizer, odd: Callable[[str], bool]) -> Callable[[list[str]],
     """
     signs, merge = {b: c for c, b in byte_signs().items()}, tokenizer.model.tokenize
 
-    def ids(word: str):
-        if odd(word):
-            return tokenizer.encode(word, add_special_tokens=False).ids
-        return [t.id for t in merge(word.encode().decode("latin-1").translate(signs))]
+    def run(words: list[str]) -> list[bytes]:
+        out = []
+        for w in words:
+            if w.isalnum() and w.isascii():  # its bytes are their own signs
+                ids = [t.id for t in merge(w)]
+            elif odd(w):
+                ids = tokenizer.encode(w, add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(signs))]
+            out.append(array("I", ids).tobytes())
+        return out
 
-    return lambda words: [array("I", ids(w)).tobytes() for w in words]
+    return run
