@@ -301,7 +301,7 @@ def compile_lexicon(words: list[str], tokenizer: str) -> Transducer:
 class Codec:
     """Encodes units through the lexicon; a worker keeps one."""
 
-    def __init__(self, tokenizer: str, lexicon: Transducer, most: int = 700_000):
+    def __init__(self, tokenizer: str, lexicon: Transducer, most: int = 400_000):
         self.merges, self.lexicon = merges_of(tokenizer), lexicon
         self.memory = Memory(self._encode, most, split=byte_bpe_words)
 
