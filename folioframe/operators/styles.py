@@ -223,3 +223,48 @@ def cluster_lines(chars: DataFrame, keys: list[str], reach: float = 3.5) -> Data
         return p.assign(line=new.cumsum())[[*keys, "id", "line"]]
 
     return chars.select(*keys, "id", "x", "y", "x2", "y2").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "id long, line long"]))
+
+
+def formula_offsets(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """W-FORMULA-OFFSET: shifts of each formula from the text beside it on its line.
+
+    Columns formula (boolean), x, y, x2, y2. The neighbour just before and just after counts if it is text
+    that overlaps by more than 0.6 of the smaller height; of two, the one that overlaps more, or both if
+    alike. Shifts under 0.1, and those to the left text over 10 or under -5, are 0.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.geometry import Box, y_ratio
+
+    w = Window.partitionBy(*keys).orderBy(order)
+    beside = {f"_{s}{c}": f(c).over(w) for s, f in (("l", F.lag), ("r", F.lead)) for c in ("formula", "x", "y", "x2", "y2")}
+    each = items.withColumns(beside).where("formula")
+    own = Box.of()
+    share = {s: F.when(~F.col(f"_{s}formula"), y_ratio(own, Box.of(names=(f"_{s}x", f"_{s}y", f"_{s}x2", f"_{s}y2")))) for s in "lr"}
+    fits = {s: F.coalesce(share[s] > 0.6, F.lit(False)) for s in "lr"}
+    left = fits["l"] & ~(fits["r"] & (share["l"] < share["r"]))
+    right = fits["r"] & ~(fits["l"] & (share["r"] < share["l"]))
+    dx = F.when(left, F.col("x") - F.col("_lx2")).otherwise(0.0)
+    dy = F.when(left, F.col("y") - F.col("_ly")).when(right, F.col("y") - F.col("_ry")).otherwise(0.0)
+    return each.withColumns({"x_offset": F.when((F.abs(dx) < 0.1) | (dx > 10) | (dx < -5), 0.0).otherwise(dx), "y_offset": F.when(F.abs(dy) < 0.1, 0.0).otherwise(dy)}).drop(*beside)
+
+
+def effective_size(size: Column, em_height: Column) -> Column:
+    """P-TYPE3: font size times the font's em height, where that is a positive number."""
+    return F.when((em_height > 0) & ~F.isnan(em_height) & (em_height < float("inf")), size * em_height).otherwise(size)
+
+
+def fonts_in_scope(chars: DataFrame, page_fonts: DataFrame, object_fonts: DataFrame) -> DataFrame:
+    """J-FONT, F-FORMULA-FONT-SCOPE: each character's font name: its object's font of that id, else its page's."""
+    a = chars.join(object_fonts.withColumnRenamed("name", "_own"), ["doc_id", "object", "font"], "left")
+    return a.join(page_fonts.withColumnRenamed("name", "_page"), ["doc_id", "font"], "left").withColumn("name", F.coalesce("_own", "_page")).drop("_own", "_page")
+
+
+def fonts_by_paragraph(chars: DataFrame, pattern: str) -> DataFrame:
+    """R-FONTS-BY-PARA: fonts of the paragraphs whose id matches, by name."""
+    return chars.where(F.col("paragraph").rlike(pattern)).groupBy("paragraph").agg(F.sort_array(F.collect_set("name")).alias("fonts"))
+
+
+def scale_links(links: DataFrame, sx: Column, sy: Column) -> DataFrame:
+    """R-LINK-SCALE: links with a numeric target, their boxes rescaled."""
+    return links.where("target >= 0").withColumns({"x": F.col("x") * sx, "x2": F.col("x2") * sx, "y": F.col("y") * sy, "y2": F.col("y2") * sy})

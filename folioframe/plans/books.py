@@ -159,3 +159,38 @@ def q_ref_pages(spark, sf):
     first = l.where((F.col("line") >= 15) & F.col("text").rlike(r"^[0-9]+\.")).groupBy("doc_id").agg(F.min("line").alias("f"))
     return l.join(first, "doc_id", "left").select("doc_id", "line", F.when(F.col("line") >= F.coalesce("f", F.lit(1_000_000_000)), "source").otherwise("dual").alias("kept"))
 
+
+
+@query("""WITH i AS (SELECT doc_id, line, word, word % 3 = 1 AS formula, x, x2, y + (word % 4) * 2 AS y, y2 + (word % 4) * 2 AS y2 FROM {words}), n AS (SELECT *, lag(formula) OVER w AS lf, lag(x2) OVER w AS lx2, lag(y) OVER w AS ly, lag(y2) OVER w AS ly2, lead(formula) OVER w AS rf, lead(y) OVER w AS ry, lead(y2) OVER w AS ry2 FROM i WINDOW w AS (PARTITION BY doc_id, line ORDER BY word)),
+  s AS (SELECT *, CASE WHEN NOT lf THEN greatest(least(y2, ly2) - greatest(y, ly), 0) / least(y2 - y, ly2 - ly) END AS ls, CASE WHEN NOT rf THEN greatest(least(y2, ry2) - greatest(y, ry), 0) / least(y2 - y, ry2 - ry) END AS rs FROM n WHERE formula),
+  f AS (SELECT *, coalesce(ls > 0.6, false) AS l0, coalesce(rs > 0.6, false) AS r0 FROM s), g AS (SELECT *, l0 AND NOT (r0 AND ls < rs) AS l, r0 AND NOT (l0 AND rs < ls) AS r FROM f), d AS (SELECT *, CASE WHEN l THEN x - lx2 ELSE 0 END AS dx, CASE WHEN l THEN y - ly WHEN r THEN y - ry ELSE 0 END AS dy FROM g)
+  SELECT doc_id, line, word, (CASE WHEN abs(dx) < 0.1 OR dx > 10 OR dx < -5 THEN 0 ELSE dx END)::DOUBLE AS x_offset, (CASE WHEN abs(dy) < 0.1 THEN 0 ELSE dy END)::DOUBLE AS y_offset FROM d""")
+def q_formula_offset(spark, sf):
+    """W-FORMULA-OFFSET."""
+    i = words(spark, sf).selectExpr("doc_id", "line", "word", "word % 3 = 1 as formula", "x", "x2", "y + (word % 4) * 2 as y", "y2 + (word % 4) * 2 as y2")
+    return styles.formula_offsets(i, ["doc_id", "line"], "word").select("doc_id", "line", "word", "x_offset", "y_offset")
+
+
+@query("""WITH c AS (SELECT doc_id, line, 'F' || (line % 3) AS font, line % 4 AS object, (line // 5)::VARCHAR AS paragraph FROM {lines}), n AS (SELECT c.*, coalesce(CASE WHEN object = 2 AND font <> 'F1' THEN 'CMMI10' END, CASE font WHEN 'F0' THEN 'Arial' WHEN 'F1' THEN 'ABCDEF+txmiaX' END) AS name FROM c)
+  SELECT doc_id, paragraph, coalesce(list_sort(list(DISTINCT name) FILTER (name IS NOT NULL)), []) AS fonts, count(*) FILTER (name IN ('CMMI10', 'ABCDEF+txmiaX')) AS formulas FROM n WHERE regexp_matches(paragraph, '^[0-4]$') GROUP BY doc_id, paragraph""")
+def q_fonts(spark, sf):
+    """J-FONT, F-FORMULA-FONT, F-FORMULA-FONT-SCOPE, R-FONTS-BY-PARA."""
+    from ..functions.fonts import formula_font
+
+    c = lines(spark, sf).selectExpr("doc_id", "line", "concat('F', line % 3) as font", "line % 4 as object", "cast(line div 5 as string) as paragraph")
+    ids = c.select("doc_id").distinct()
+    page = ids.select("doc_id", F.explode(F.expr("array(struct('F0' as font, 'Arial' as name), struct('F1' as font, 'ABCDEF+txmiaX' as name))")).alias("f")).select("doc_id", "f.*")
+    own = ids.select("doc_id", F.lit(2).cast("long").alias("object"), F.explode(F.array(F.lit("F0"), F.lit("F2"))).alias("font"), F.lit("CMMI10").alias("name"))
+    named = styles.fonts_in_scope(c, page, own)
+    formulas = named.groupBy("doc_id", "paragraph").agg(F.sum(F.coalesce(formula_font(F.col("name")), F.lit(False)).cast("int")).cast("long").alias("formulas"))
+    keyed = named.withColumn("paragraph", F.concat_ws("/", "doc_id", "paragraph"))
+    found = styles.fonts_by_paragraph(keyed, "/[0-4]$").selectExpr("cast(split(paragraph, '/')[0] as bigint) as doc_id", "split(paragraph, '/')[1] as paragraph", "fonts")
+    return found.join(formulas, ["doc_id", "paragraph"])
+
+
+@query("""SELECT doc_id, line, target, x / 2 AS x, x2 / 2 AS x2, y * 0.75 AS y, y2 * 0.75 AS y2, CASE WHEN line % 3 > 0 THEN 10 * (line % 3) * 0.5 ELSE 10 END::DOUBLE AS size FROM (SELECT *, line % 5 - 1 AS target FROM {lines}) WHERE target >= 0""")
+def q_link_scale(spark, sf):
+    """R-LINK-SCALE, P-TYPE3."""
+    l = lines(spark, sf).withColumn("target", F.col("line") % 5 - 1)  # noqa: E741
+    size = styles.effective_size(F.lit(10.0), (F.col("line") % 3) * F.lit(0.5))
+    return styles.scale_links(l, F.lit(0.5), F.lit(0.75)).select("doc_id", "line", "target", "x", "x2", "y", "y2", size.alias("size"))
