@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +166,17 @@ def candidate_costs(histogram: np.ndarray) -> np.ndarray:
     return out
 
 
+_COSTS: dict[str, np.ndarray] = {}
+
+
+def costs_of(run: str, histogram: np.ndarray) -> np.ndarray:
+    """candidate_costs of a run's histograms, computed once per worker."""
+    if run not in _COSTS:
+        _COSTS.clear()
+        _COSTS[run] = candidate_costs(histogram)
+    return _COSTS[run]
+
+
 def allocate(values: np.ndarray, costs: np.ndarray, reach: int) -> np.ndarray:
     """[fingerprint, partition] thresholds that sum to reach - partitions + 1 with the least cost.
 
@@ -281,10 +293,11 @@ def link_prints(prints: DataFrame, words: int, reach: int, within: int, scratch:
     histogram[counted["part"].to_numpy(), counted["v"].to_numpy()] = counted["n"].to_numpy()
     table = spark.sparkContext.broadcast(histogram.astype(np.int32 if histogram.max(initial=0) < 1 << 31 else np.int64))
 
+    run = uuid.uuid4().hex
+
     def expand(batches):
-        costs = None
         for b in batches:
-            costs = candidate_costs(table.value) if costs is None else costs
+            costs = costs_of(run, table.value)
             node, column = b.column(0).to_numpy(), as_words(b.column(1), words)
             for lo in range(0, len(column), 4096):
                 some = column[lo : lo + 4096]
