@@ -192,6 +192,15 @@ def unpacked(place: int) -> tuple[int, int, int]:
     return place >> 18, place >> 9 & 511, place & 511
 
 
+def core_key(core: bytes) -> tuple[int, int]:
+    x = xxhash.xxh3_128_intdigest(core)
+    return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
+
+
+def context_key(left: bytes, right: bytes, near: int, far: int) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(struct.pack("<III", len(left), near, far) + left + right))
+
+
 def find_anchors(texts: DataFrame, length: int, width: int) -> DataFrame:
     """core (hash), rid, place (see `packed`) of the anchors of texts (rid, text)."""
 
@@ -218,9 +227,8 @@ _CONTEXT = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("context", pa.int
 
 
 def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> DataFrame:
-    """Each item (rid, place), cut into ranges of `width` distances, with its core's 128-bit and
-    its context's 64-bit hash; at: the core's first byte, which distances count from. A task gives the
-    bytes around the core with a context's first item alone."""
+    """Each item (rid, place) with its core's 128-bit and its context's 64-bit hash; at: the core's first byte,
+    which distances count from. A task gives the bytes around the core with a context's first item alone."""
 
     def run(batches):
         seen: set[tuple] = set()
@@ -228,19 +236,16 @@ def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> Dat
         def rows():
             for b, i, data in _texts(batches):
                 rid = b.column("rid")[i].as_py()
-                for start, least, most in map(unpacked, b.column("items")[i].as_py()):
-                    for p in range(least // width * width, most + 1, width):
-                        near, far, at = max(least - p, 0), min(most - p, width - 1), start - p
-                        end = at + length - width + 1
-                        left, right = data[max(0, at - width + 1) : at], data[end : end + width - 1]
-                        core = xxhash.xxh3_128_intdigest(data[at:end])
-                        key = (_signed(core >> 64), _signed(core & ((1 << 64) - 1)), _signed(xxhash.xxh3_64_intdigest(struct.pack("<III", len(left), near, far) + left + right)))
-                        new = key not in seen
-                        if new:
-                            if len(seen) > 300_000:
-                                seen.clear()
-                            seen.add(key)
-                        yield (*key, rid, at, near, far, left if new else None, right if new else None)
+                for at, near, far in map(unpacked, b.column("items")[i].as_py()):
+                    end = at + length - width + 1
+                    left, right = data[max(0, at - width + 1) : at], data[end : end + width - 1]
+                    key = (*core_key(data[at:end]), context_key(left, right, near, far))
+                    new = key not in seen
+                    if new:
+                        if len(seen) > 300_000:
+                            seen.clear()
+                        seen.add(key)
+                    yield (*key, rid, at, near, far, left if new else None, right if new else None)
 
         yield from _in_batches(rows(), _CONTEXT)
 
@@ -248,6 +253,31 @@ def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> Dat
     return texts.join(lists, "rid").select("rid", "text", "items").mapInArrow(run, "hi long, lo long, context long, rid long, at long, near int, far int, left binary, right binary")
 
 
+_INNER = pa.schema([*((n, pa.int64()) for n in ("hi", "lo", "context")), ("near", pa.int32()), ("far", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), *((n, pa.int64()) for n in ("of_hi", "of_lo", "of_context")), ("shift", pa.int32())])
+
+
+def inner(rows: DataFrame, outer: int, width: int) -> DataFrame:
+    """Contexts (of distances 0 to outer - 1) as contexts of ranges of `width` distances, with longer cores.
+
+    No text is read again: what a longer core takes in stands in the context's own bytes. of_*, shift: the
+    context that a row comes from, and the distance that its own distances count from.
+    """
+
+    def run(batches):
+        def made():
+            for b in batches:
+                for hi, lo, context, least, most, left, right in zip(*(b.column(n).to_pylist() for n in ("hi", "lo", "context", "near", "far", "left", "right")), strict=True):
+                    for p in range(least // width * width, most + 1, width):
+                        near, far, cut, end = max(least - p, 0), min(most - p, width - 1), len(left) - p, outer - p - width
+                        before, after = left[max(0, cut - width + 1) : cut], right[end : end + width - 1]
+                        core = struct.pack("<qqI", hi, lo, p) + left[cut:] + right[:end]
+                        yield (*core_key(core), context_key(before, after, near, far), near, far, before, after, hi, lo, context, p)
+
+        yield from _in_batches(made(), _INNER)
+
+    return rows.mapInArrow(run, "hi long, lo long, context long, near int, far int, left binary, right binary, of_hi long, of_lo long, of_context long, shift int")
+
+
 _RANGE = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("context", pa.int64()), ("near", pa.int32()), ("far", pa.int32())])
 
 
@@ -281,36 +311,42 @@ def merged_ranges(rows: DataFrame, width: int) -> DataFrame:
     return rows.select(*KEY, "context", "near", "far", "left", "right").repartition(n, *KEY).sortWithinPartitions(*KEY).mapInArrow(run, "hi long, lo long, context long, near int, far int")
 
 
+def repeated_contexts(rows: DataFrame, scratch: Scratch, width: int, most: int, finer: tuple[int, ...]) -> DataFrame:
+    """hi, lo, context, near, far: distances whose strings occur twice, among contexts of `width` distances.
+
+    rows: a row for each place of a context (left and right may be null but in one row of a context).
+    """
+    keys = [*KEY, "context"]
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("near"), F.max("far").alias("far"))
+    again, shown = per.where("n > 1").select(*keys, "near", "far"), rows.where("left is not null")
+    if not finer:
+        return again  # a context of one distance is its core
+    large = scratch.write(per.groupBy(*KEY).agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > most).select(*KEY))
+    if large.isEmpty():
+        return merged_ranges(shown, width).unionByName(again)
+    out = merged_ranges(shown.join(large, KEY, "left_anti"), width).unionByName(again)
+    split = scratch.write(inner(shown.join(large, KEY, "left_semi").select(*keys, "near", "far", "left", "right").dropDuplicates(keys), width, finer[0]))
+    found = scratch.write(repeated_contexts(split, scratch, finer[0], most, finer[1:])).withColumnsRenamed({"near": "_near", "far": "_far"})
+    back = split.select(*keys, "of_hi", "of_lo", "of_context", "shift").join(found, keys)
+    return out.unionByName(back.select(F.col("of_hi").alias("hi"), F.col("of_lo").alias("lo"), F.col("of_context").alias("context"), (F.col("_near") + F.col("shift")).alias("near"), (F.col("_far") + F.col("shift")).alias("far")))
+
+
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """rid, begin, end of strings of `length` bytes that also start elsewhere, as overlapping spans."""
     if width > 512:
         raise ValueError("distances are packed in nine bits")
     found = scratch.write(find_anchors(texts, length, width))
     twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    items, used, out = found.join(twice, "core").select("rid", "place"), [found], []
-    for size in (width, *FINER):
-        rows = scratch.write(contexts(texts, items, length, size))
-        scratch.drop(*used)
-        scratch.release()
-        per = rows.groupBy(*KEY, "context").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("near"), F.max("far").alias("far"))
-        large = scratch.write(per.groupBy(*KEY).agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > (most if size > 1 else 1 << 62)).select(*KEY))
-        again = per.where("n > 1").select(*KEY, "context", "near", "far")
-        split = not large.isEmpty()
-        shown = rows.where("left is not null")
-        ranges = scratch.write(merged_ranges(shown.join(large, KEY, "left_anti") if split else shown, size).unionByName(again))
-        keys = [*KEY, "context"]
-        spans = rows.select(*keys, "rid", "at").join(ranges, keys).select("rid", (F.col("at") - F.col("far")).alias("begin"), (F.col("at") - F.col("near") + length).alias("end"))
-        out.append(scratch.write(spans))
-        used = [rows, ranges, large]
-        if not split:
-            break
-        items = rows.join(large, KEY, "left_semi").select("rid", packed(F.col("at"), F.col("near").cast("long"), F.col("far").cast("long")).alias("place"))
-    scratch.drop(*used)
+    rows = scratch.write(contexts(texts, found.join(twice, "core").select("rid", "place"), length, width))
+    scratch.drop(found)
+    scratch.release()
+    ranges, keys = scratch.write(repeated_contexts(rows, scratch, width, most, FINER)), [*KEY, "context"]
     scratch.release()
-    spans = out[0]
-    for more in out[1:]:
-        spans = spans.unionByName(more)
-    return spans
+    spans = rows.select(*keys, "rid", "at").join(ranges, keys).select("rid", (F.col("at") - F.col("far")).alias("begin"), (F.col("at") - F.col("near") + length).alias("end"))
+    out = scratch.write(spans)
+    scratch.drop(rows, ranges)
+    scratch.release()
+    return out
 
 
 def united(spans: list[tuple[int, int]]) -> list[list[int]]:
