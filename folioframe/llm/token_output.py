@@ -193,7 +193,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Segment(data.as_buffer())
                 lo = np.concatenate(([0], s.ends[:-1])).astype(np.int64)
-                crc = [zlib.crc32(s.ids(int(a), int(b)).astype("<u4", copy=False)) for a, b in zip(lo, s.ends, strict=True)]
+                ids = s.ids(0, s.n_ids).astype("<u4", copy=False)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(lo.tolist(), s.ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.doc_ids, pa.int64()), pa.array(lo + s.start + before[shard], pa.int64()), pa.array(s.ends - lo, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )

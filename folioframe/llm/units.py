@@ -23,9 +23,9 @@ def byte_bpe_units(text: str) -> list[str]:
 
     A word begins at each space that a non-space follows, whatever stands before it.
     """
+    if "\0" not in text and not _ODD_SPACE.search(text):
+        return text.replace(" ", "\0 ").split("\0")
     pieces = text.split(" ")
-    if not _ODD_SPACE.search(text):
-        return [pieces[0], *[" " + p for p in pieces[1:]]]
     units = [pieces[0]]
     for p in pieces[1:]:
         if p and not p[0].isspace():
