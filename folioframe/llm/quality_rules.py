@@ -136,7 +136,9 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """keys, docs, and lower and upper quartile of each metric (<metric>_q1, <metric>_q3)."""
     group = Window.partitionBy(*keys, "metric")
     ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    of = lambda m, q: F.min(F.when((F.col("metric") == m) & (4 * F.col("upto") >= q * F.col("docs")), F.col("bucket")))
+    # A quartile lies in a bucket: its lower edge stands for the first, its upper edge for the third.
+    edge = {1: F.col("bucket"), 3: F.expr(f"bucket + shiftleft(1L, greatest(length(bin(bucket)) - {BITS}, 0)) - 1")}
+    of = lambda m, q: F.min(F.when((F.col("metric") == m) & (4 * F.col("upto") >= q * F.col("docs")), edge[q]))
     return ranked.groupBy(*keys).agg(F.max("docs").alias("docs"), *[of(m, q).alias(f"{m}_q{q}") for m, _, _ in Rules.bounds for q in (1, 3)])
 
 
@@ -236,7 +238,7 @@ windows AS (
     sum(n) OVER (PARTITION BY own, lang, source, metric) AS docs FROM both_levels
 ), q AS (
   SELECT own, lang, source, metric, max(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1,
-    min(bucket) FILTER (4 * upto >= 3 * docs) AS q3 FROM ranked GROUP BY ALL
+    min(bucket + (1::BIGINT << greatest(length(bin(bucket)) - 7, 0)::BIGINT) - 1) FILTER (4 * upto >= 3 * docs) AS q3 FROM ranked GROUP BY ALL
 ), chosen AS (
   SELECT o.lang, o.source, o.metric, CASE WHEN o.docs >= 100 THEN o.q1 WHEN w.docs >= 100 THEN w.q1 END AS q1,
     CASE WHEN o.docs >= 100 THEN o.q3 WHEN w.docs >= 100 THEN w.q3 END AS q3
