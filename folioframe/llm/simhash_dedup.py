@@ -9,10 +9,11 @@ within its thresholds; what it meets there is verified over all bits.
 
 `simhash_components` links one-word fingerprints within 3 bits, for which the principle finds every
 link. `keep_one` wants texts whose shingles are similar to 0.8, and such texts differ in a seventh of
-their bits, beyond what any index of exact keys covers. It takes fingerprints of six words: all that
-differ in up to 23 of 384 bits are met, others with a probability that falls with the distance (a
-seventh of the bits: 0.84), and those met are linked if they differ in at most 58, the bits'
-expected distance at that similarity.
+their bits, beyond what any index of exact keys covers. It takes fingerprints of twelve words over the
+distinct shingles: texts meet if one of 48 partitions is equal (a pair at 0.8 does with a probability
+of 0.97), and those met whose first six words differ in at most 79 bits (three deviations above the
+mean of 58) are candidates. Texts of a group of candidates are compared by the shingles
+themselves; only a similarity of 0.8 or more links them.
 
 Large groups. Equal fingerprints are one row. A value with more than `refine` fingerprints is no
 key; the other bits are cut into as many parts as could differ and one more, of which one must be
@@ -58,20 +59,29 @@ def spread(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def fingerprint(text: str, shingle: int = 3, words: int = 1) -> np.ndarray:
-    """Bits set in over half the shingles' hashes, as 64-bit words; 0 for a text without words."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in order; a text of fewer words is one shingle, one without words has none."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     whole, hash_of = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= shingle:
-        return spread(np.array([hash_of(whole, SEED)], np.uint64), words)[0]
+        return np.array([hash_of(whole, SEED)], np.uint64)
     end = np.cumsum([len(w) + 1 for w in tokens])
     start = np.concatenate(([0], end[:-1]))[: len(tokens) - shingle + 1].tolist()
-    hashes = [hash_of(whole[a:b], SEED) for a, b in zip(start, (end[shingle - 1 :] - 1).tolist(), strict=True)]
+    return np.array([hash_of(whole[a:b], SEED) for a, b in zip(start, (end[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """Bits set in over half the shingles' hashes, as 64-bit words; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle), words)
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Bits set in over half the hashes, spread to 64-bit words."""
     ones = np.zeros(64 * words, np.int64)
     for lo in range(0, len(hashes), 1 << 14):
-        some = spread(np.array(hashes[lo : lo + (1 << 14)], np.uint64), words)
+        some = spread(hashes[lo : lo + (1 << 14)], words)
         ones += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
@@ -273,11 +283,13 @@ def sorted_groups(batches, n_keys: int):
         yield held, np.array([0])
 
 
-def link_prints(prints: DataFrame, words: int, reach: int, within: int, scratch: Scratch, block: int = 2048, refine: int = 1 << 16) -> DataFrame:
+def link_prints(prints: DataFrame, words: int, reach: int, within: int, scratch: Scratch, block: int = 2048, refine: int = 1 << 16, compared: int | None = None) -> DataFrame:
     """Links (a, b) of a spanning forest of distinct fingerprints (columns node, print).
 
-    reach: bits up to which every pair is met. within: bits up to which a pair that is met is linked.
+    reach: bits up to which every pair is met. within: bits up to which a pair that is met is linked,
+    of the first `compared` words (all).
     """
+    compared = compared or words
     spark, m = prints.sparkSession, 64 * words // WIDTH
     if reach + 1 > m * (FAR + 1):
         raise ValueError("the partitions are too few for this distance")
@@ -303,7 +315,7 @@ def link_prints(prints: DataFrame, words: int, reach: int, within: int, scratch:
                 some = column[lo : lo + 4096]
                 row, key, data, probe, load = keyed(some, groups, table.value, costs, reach, refine)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[lo : lo + 4096][row]), as_lists(some[row]), pa.array(key, pa.int64()), pa.array(data.astype(bool)), pa.array(probe.astype(bool)), pa.array(load.astype(np.int64))],
+                    [pa.array(node[lo : lo + 4096][row]), as_lists(some[row, :compared]), pa.array(key, pa.int64()), pa.array(data.astype(bool)), pa.array(probe.astype(bool)), pa.array(load.astype(np.int64))],
                     names=["node", "print", "key", "data", "probe", "load"],
                 )
 
@@ -323,7 +335,7 @@ def link_prints(prints: DataFrame, words: int, reach: int, within: int, scratch:
         )
     )
     dealt = rows.withColumn("blocks", blocks).select("node", "print", "key", F.explode(cells).alias("c")).select(
-        "key", (F.col("c.x").cast("long") * (1 << 20) + F.col("c.y")).alias("cell"), "node", "c.data", "c.probe", *[F.col("print")[k].alias(f"w{k}") for k in range(words)]
+        "key", (F.col("c.x").cast("long") * (1 << 20) + F.col("c.y")).alias("cell"), "node", "c.data", "c.probe", *[F.col("print")[k].alias(f"w{k}") for k in range(compared)]
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "cell"]
@@ -364,19 +376,104 @@ def simhash_components(docs: DataFrame, reach: int = 3, shingle: int = 3, id_col
     return found.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bits_apart(similarity: float, words: int) -> int:
-    """Expected bits in which texts of this similarity (shared shingles / all shingles) differ."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * words * float(np.arccos(cosine)) / np.pi)
+def bits_apart(similarity: float, words: int, deviations: int = 3) -> int:
+    """Bits in which texts of this similarity (shared shingles / all shingles) differ at most, but for one in 740."""
+    p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    n = 64 * words
+    return round(n * p + deviations * (n * p * (1 - p)) ** 0.5)
+
+
+def shingle_sets(rows: DataFrame, shingle: int, words: int, text_col: str) -> DataFrame:
+    """_near_row, print and node (a hash of the set) of every text's distinct shingles."""
+
+    def run(batches):
+        for keys, texts in parts(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([keys, as_lists(np.stack([majority(x, words) for x in sets])), pa.array(node)], names=["_near_row", "print", "node"])
+
+    return rows.select("_near_row", F.col(text_col).cast("string").alias("text")).mapInArrow(run, "_near_row long, print array<long>, node long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets share that part of all their members."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1) >= similarity
+
+
+def similar_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) positions of the components of similar sets whose prints differ in at most `within` bits.
+
+    Pairs that are connected by others already are not compared.
+    """
+    i, j = match(prints, prints, within)
+    i, j = i[i < j], j[i < j]
+    root, a, b = np.arange(len(sets)), [], []
+    while len(i):
+        _, first = np.unique(i, return_index=True)
+        for k in first.tolist():
+            if similar(sets[i[k]], sets[j[k]], similarity):
+                a.append(i[k])
+                b.append(j[k])
+        if a:
+            node, low = forest(np.array(a), np.array(b))
+            root[node] = low
+            a, b = node.tolist(), low.tolist()
+        left = root[i] != root[j]
+        left[first] = False
+        i, j = i[left], j[left]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def verified(candidates: DataFrame, shingle: int, words: int, similarity: float, within: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) of texts (node, component, text) of a component whose shingles are similar, as spanning forests."""
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches):
+        for b in batches:
+            for keys, texts in parts([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(3)], names=["i", "text"])]):
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                some = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                own = as_lists(np.stack([majority(x, words) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(keys) for k in range(3)), own, some], names=["component", "node", "blocks", "print", "shingles"])
+
+    sized = candidates.join(candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "component")
+    sets = sized.select("component", "node", "blocks", "text").mapInArrow(cut, "component long, node long, blocks int, print array<long>, shingles array<long>")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.least(own, y).cast("long") * (1 << 20) + F.greatest(own, y))
+    order = ["component", "cell"]
+
+    def compare(batches):
+        for (_, _, node, prints, shingles), starts in sorted_groups(batches, 2):
+            for lo, hi in zip(starts, [*starts[1:], len(node)], strict=True):
+                if hi - lo > 1:
+                    own = np.stack(prints[lo:hi]).view(np.uint64)
+                    a, b = similar_links(own, [x.view(np.uint64) for x in shingles[lo:hi]], similarity, within)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][a]), pa.array(node[lo:hi][b])], names=["a", "b"])
+
+    dealt = sets.select("component", F.explode(cells).alias("cell"), "node", "print", "shingles")
+    return dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 12, compared: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents (all columns) that are the first of their group of near copies.
 
     Documents with null ids stay, and so do all rows of an id that stays.
     """
-    scratch = Scratch(docs.sparkSession, "near-copies")
-    found = scratch.write(fingerprints(docs, shingle, words, id_col, text_col))
-    named = named_prints(found, words, 64 * words // WIDTH - 1, bits_apart(similarity, words), scratch)
-    others = found.join(named, "print").where("doc_id <> component_id").select(F.col("doc_id").alias("_near_copy")).distinct()
-    return docs.join(others, F.col(id_col) == F.col("_near_copy"), "left_anti")
+    scratch, within = Scratch(docs.sparkSession, "near-copies"), bits_apart(similarity, compared)
+    rows = scratch.write(docs.withColumn("_near_row", F.monotonically_increasing_id()))
+    found = scratch.write(shingle_sets(rows, shingle, words, text_col))
+    sets = scratch.write(found.groupBy("node", "print").agg(F.min("_near_row").alias("_near_row")))
+    met = components(link_prints(sets, words, 64 * words // WIDTH - 1, within, scratch, compared=compared), scratch)
+    members = met.unionAll(met.select(F.col("component").alias("node"), "component").distinct())
+    texts = members.join(sets.select("node", "_near_row"), "node").join(rows.select("_near_row", F.col(text_col).cast("string").alias("text")), "_near_row")
+    linked = components(verified(texts.select("component", "node", "text"), shingle, compared, similarity, within), scratch)
+    ids = rows.select("_near_row", F.col(id_col).cast("long").alias("doc_id"))
+    named = found.select("node", "_near_row").join(linked, "node", "left").select("_near_row", F.coalesce("component", "node").alias("root")).join(ids, "_near_row")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    others = named.join(least, "root").where("doc_id <> component_id").select(F.col("doc_id").alias("_near_copy")).distinct()
+    return rows.join(others, F.col(id_col) == F.col("_near_copy"), "left_anti").drop("_near_row")

@@ -91,6 +91,48 @@ def test_near_copies(spark, odd_docs):
     assert simhash_dedup.keep_one(odd_docs).columns == odd_docs.columns
 
 
+def pair_at(rnd, n, changed):
+    """Two texts of n words, of which the second has so many changed, and the similarity of their 5-word shingles."""
+    a = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    b = list(a)
+    for k in rnd.sample(range(n), changed):
+        b[k] = f"w{rnd.randrange(10**9)}"
+    x, y = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (a, b))
+    return " ".join(a), " ".join(b), len(x & y) / len(x | y)
+
+
+def test_near_copies_are_those_at_the_similarity(spark):
+    rnd, rows, want = random.Random(11), [], {}
+    while len(want) < 240:
+        a, b, s = pair_at(rnd, 300, rnd.randint(4, 12))
+        if 0.74 <= s < 0.86 and sum((v >= 0.8) == (s >= 0.8) for v in want.values()) < 120:
+            rows += [(2 * len(want), a), (2 * len(want) + 1, b)]
+            want[2 * len(want) + 1] = s
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in range(240))
+    assert all(i in kept for i, s in want.items() if s < 0.8)
+    assert sum(i not in kept for i, s in want.items() if s >= 0.8) >= 0.9 * 120
+
+
+def test_equal_prints_are_not_enough(spark):
+    common = " ".join(["the same five words again"] * 400)
+    rows = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(60))) for i in range(6)]
+    assert simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
+
+
+def test_similar_links():
+    rnd = random.Random(12)
+    sets = [np.array(sorted(rnd.sample(range(14), rnd.randint(6, 12))), np.uint64) for _ in range(200)]
+    got = np.arange(200)
+    node, root = simhash_dedup.similar_links(np.zeros((200, 1), np.uint64), sets, 0.8, 64)
+    got[node] = root
+    x, y = zip(*[(i, j) for i in range(200) for j in range(200) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})], strict=True)
+    want = np.arange(200)
+    node, root = components.forest(np.array(x), np.array(y))
+    want[node] = root
+    assert np.array_equal(got, want)
+
+
 def brute_repeats(texts, length):
     seen = Counter(d[s : s + length] for d in texts for s in range(len(d) - length + 1))
     for d in texts:
