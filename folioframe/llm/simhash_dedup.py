@@ -23,7 +23,8 @@ never all pairs, and components are found by joins (`components`).
 
 Null text counts as empty, and empty texts (fingerprint 0) are linked like others. A null id takes
 part and never names a component (null if there is no other id). Repeated rows each get a row, an
-empty table gives an empty result, other columns are ignored (`keep_one` keeps them).
+empty table gives an empty result, other columns are ignored (`keep_one` keeps them, and one row of
+each group, whatever its ids).
 """
 
 from __future__ import annotations
@@ -460,20 +461,21 @@ def verified(candidates: DataFrame, shingle: int, words: int, similarity: float,
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 12, compared: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents (all columns) that are the first of their group of near copies.
+    """The rows (all columns) that are the first of their group of near copies.
 
-    Documents with null ids stay, and so do all rows of an id that stays.
+    Exactly one row of a group stays: that of the least id (null last), and of the rows of one id the first.
+    Values of a partition that many texts share are compared by block pairs alone.
     """
     scratch, within = Scratch(docs.sparkSession, "near-copies"), bits_apart(similarity, compared)
     rows = scratch.write(docs.withColumn("_near_row", F.monotonically_increasing_id()))
     found = scratch.write(shingle_sets(rows, shingle, words, text_col))
     sets = scratch.write(found.groupBy("node", "print").agg(F.min("_near_row").alias("_near_row")))
-    met = components(link_prints(sets, words, 64 * words // WIDTH - 1, within, scratch, compared=compared), scratch)
+    met = components(link_prints(sets, words, 64 * words // WIDTH - 1, within, scratch, refine=1 << 62, compared=compared), scratch)
     members = met.unionAll(met.select(F.col("component").alias("node"), "component").distinct())
     texts = members.join(sets.select("node", "_near_row"), "node").join(rows.select("_near_row", F.col(text_col).cast("string").alias("text")), "_near_row")
     linked = components(verified(texts.select("component", "node", "text"), shingle, compared, similarity, within), scratch)
     ids = rows.select("_near_row", F.col(id_col).cast("long").alias("doc_id"))
     named = found.select("node", "_near_row").join(linked, "node", "left").select("_near_row", F.coalesce("component", "node").alias("root")).join(ids, "_near_row")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    others = named.join(least, "root").where("doc_id <> component_id").select(F.col("doc_id").alias("_near_copy")).distinct()
-    return rows.join(others, F.col(id_col) == F.col("_near_copy"), "left_anti").drop("_near_row")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_near_row"))["_near_row"].alias("stays"))
+    others = named.join(first, "root").where("_near_row <> stays").select("_near_row")
+    return rows.join(others, "_near_row", "left_anti").drop("_near_row")

@@ -114,6 +114,14 @@ def test_near_copies_are_those_at_the_similarity(spark):
     assert sum(i not in kept for i, s in want.items() if s >= 0.8) >= 0.9 * 120
 
 
+def test_one_row_of_a_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(f"v{i}" for i in range(300))
+    rows = [(7, text), (7, text), (None, text), (None, text), (9, text + " more"), (None, other), (None, other), (None, "alone"), (3, None), (None, "")]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(7, text), (None, other), (None, "alone"), (3, None)], key=repr)
+
+
 def test_equal_prints_are_not_enough(spark):
     common = " ".join(["the same five words again"] * 400)
     rows = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(60))) for i in range(6)]
