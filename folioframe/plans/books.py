@@ -79,9 +79,9 @@ def q_lineno_merge(spark, sf):
 
 @query()
 def q_formula_merge(spark, sf):
-    """W-FORMULA-MERGE; tested against a model."""
-    each = words(spark, sf).where("word % 3 <> 0").withColumn("id", F.col("word"))
-    return styles.merge_formulas(each, ["doc_id", "line"])
+    """W-FORMULA-MERGE over all words, those of either role on their own; tested against a model."""
+    each = words(spark, sf).withColumns({"id": F.col("word"), "first": F.expr("word % 3 = 0")})
+    return styles.merge_formulas(each, ["doc_id", "line", "first"])
 
 
 @query("""SELECT doc_id, line, count(*) AS parts, max(length(p))::BIGINT AS longest FROM (SELECT doc_id, line, unnest(string_split(replace(replace(text, '(', ''), ')', ''), ',')) AS p FROM {lines} WHERE text NOT LIKE '%[%' AND text NOT LIKE '%{%') GROUP BY ALL""")
@@ -95,7 +95,7 @@ def q_formula_split(spark, sf):
 @query()
 def q_overlap_fix(spark, sf):
     """W-OVERLAP-FIX; tested against a model."""
-    return styles.spread_overlaps(regions(spark, sf).where("id % 3 = 0"), ["doc_id", "page_no"])
+    return styles.spread_overlaps(regions(spark, sf), ["doc_id", "page_no"])
 
 
 @query()
