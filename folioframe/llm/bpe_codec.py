@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import narrow, parts
+from .arrow import held, narrow, parts
 from .scratch import Scratch
 from .units import Memory, byte_bpe_units, byte_bpe_words, byte_signs, byte_words, special
 
@@ -269,7 +269,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[str]:
         def counted():
             words = Counter()
             for unit, n in seen.items():
-                for w in byte_bpe_words(unit):
+                for w in byte_bpe_words(unit) or (unit,):
                     words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
@@ -301,9 +301,9 @@ def compile_lexicon(words: list[str], tokenizer: str) -> Transducer:
 class Codec:
     """Encodes units through the lexicon; a worker keeps one."""
 
-    def __init__(self, tokenizer: str, lexicon: Transducer, most: int = 400_000):
+    def __init__(self, tokenizer: str, lexicon: Transducer, most_bytes: int = 200_000_000):
         self.merges, self.lexicon = merges_of(tokenizer), lexicon
-        self.memory = Memory(self._encode, most, split=byte_bpe_words)
+        self.memory = Memory(self._encode, most_bytes, split=byte_bpe_words)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of words; of units with special strings, by their words."""
@@ -324,8 +324,10 @@ class Codec:
     def _words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]
         rank = self.lexicon.ranks(raw)
-        first, data = (4 * self.lexicon.first).tolist(), self.lexicon.ids.tobytes()
-        out = [data[first[r] : first[r + 1]] if r >= 0 else b"" for r in rank.tolist()]
+        first, data = self.lexicon.first, memoryview(self.lexicon.ids.view(np.uint8))
+        known = np.maximum(rank, 0) if len(first) > 1 else np.zeros(0, np.int64)
+        begin, end = (4 * first[known]).tolist(), (4 * first[known + 1]).tolist()
+        out = [bytes(data[a:b]) if r >= 0 else b"" for r, a, b in zip(rank.tolist(), begin, end, strict=True)] if len(known) else [b""] * len(raw)
         unseen = np.flatnonzero(rank < 0).tolist()
         for k, x in zip(unseen, self.merges.merge([raw[k] for k in unseen]), strict=True):
             out[k] = x.astype("<u4").tobytes()
@@ -338,14 +340,8 @@ class Codec:
         return self.merges.decode(ids)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(tokenizer: str, key: str, broadcast) -> Codec:
-    if (tokenizer, key) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[tokenizer, key] = Codec(tokenizer, Transducer.mapped(broadcast.value))
-    return _CODECS[tokenizer, key]
+    return held(("codec", tokenizer, key), lambda: Codec(tokenizer, Transducer.mapped(broadcast.value)))
 
 
 def lexicon_codec(docs: DataFrame, tokenizer: str, lexicon: int = 50_000, id_col: str = "doc_id", text_col: str = "text"):

@@ -13,7 +13,6 @@ table gives an empty result, other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from dataclasses import dataclass, field
 
@@ -22,8 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrow import narrow, parts
-from .units import Memory, library_ids, load_tokenizer, plain_words, spaceless_units, special_or_uneven
+from .arrow import held, narrow, parts
+from .units import Memory, library_ids, load_tokenizer, plain_units, plain_words, special_or_uneven
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -140,14 +139,13 @@ class Packer:
         self.level[:] = 0
 
 
-@functools.lru_cache(maxsize=4)
 def _encoder(path: str) -> Memory:
-    return Memory(library_ids(load_tokenizer(path), special_or_uneven), split=plain_words)
+    return held(("word_ids", path), lambda: Memory(library_ids(load_tokenizer(path), special_or_uneven), split=plain_words))
 
 
 def word_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts by a tokenizer that drops white space."""
-    return [np.frombuffer(b"".join(x), "<u4") for x in _encoder(path).look_up([spaceless_units(t) for t in texts])]
+    return [np.frombuffer(b"".join(x), "<u4") for x in _encoder(path).look_up([plain_units(t) for t in texts])]
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, most_open: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

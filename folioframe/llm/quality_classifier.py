@@ -6,12 +6,12 @@ chunks overlap and cover the whole document; each filter's greatest answer over
 chunks that answered most alone.
 
 The network is fitted on the driver on a bounded sample of labelled rows (`Training`: rows of each
-class by hash of the id, texts up to `bytes`); the share of each class comes from all labelled rows that
-may be used. Scoring reads whole texts, a slice of about `SLICE` bytes at a time; a longer text is scored
+class by hash of the id; of a text longer than `chars` so many characters, in stretches spread over the whole of it);
+the share of each class comes from all labelled rows that may be used. Scoring reads whole texts, a slice of about `SLICE` bytes at a time; a longer text is scored
 in stretches whose maxima are joined. No shuffle but for the labels' join.
 
-Null text counts as empty, and empty texts are scored. Null labels are not used; a label table
-without both classes gives every text the same score. A null id is never held out; repeated rows
+Null text counts as empty, and empty texts are scored. Null labels are not used, repeated rows of labels count as
+often as they stand; a label table without both classes gives every text the same score. A null id is never held out; repeated rows
 each get a score; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,7 +35,8 @@ class Training:
     """Bounds and settings of the fit."""
 
     rows: int = 500  # of each class
-    bytes: int = 16_384  # longest text of the sample
+    chars: int = 16_384  # of a text
+    stretches: int = 16  # that a longer text's characters are taken in
     filters: int = 24
     rounds: int = 10
     batch: int = 32
@@ -150,8 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, how: Training | None = None, id_co
     how = how or Training()
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     counts = dict(map(tuple, usable.groupBy("label").count().collect()))
-    texts = narrow(docs, id_col, text_col).where(F.octet_length("text") <= how.bytes)
-    # Twice the rows, as some ids have no text that fits; both limits are parameters.
+    text, piece = F.coalesce("text", F.lit("")), how.chars // how.stretches
+    starts = [(F.length(text) - piece).cast("long") * k / (how.stretches - 1) for k in range(how.stretches)]
+    spread = F.concat(*[F.substring(text, (x + 1).cast("int"), F.lit(piece)) for x in starts])
+    texts = narrow(docs, id_col, text_col).withColumn("text", F.when(F.length(text) <= how.chars, text).otherwise(spread))
+    # Twice the rows, as some ids have no text; both limits are parameters.
     some = [usable.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(2 * how.rows) for k in (0, 1)]
     found = texts.join(F.broadcast(some[0].unionByName(some[1])), F.col("doc_id") == F.col("id")).select("id", "label", "text")
     rows = [r for k in (0, 1) for r in found.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "text").limit(how.rows).collect()]
@@ -175,18 +179,12 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training | None = None, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, whose score reaches the threshold."""
-    net = train(docs, labels, how, text_col=text_col)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, whose score reaches the threshold. Only texts go to Python, only scores come back."""
+    net = train(docs, labels, how, id_col, text_col)
 
-    def run(batches):
-        for b in batches:
-            column = b.column(text_col)
-            good = np.zeros(b.num_rows, bool)
-            lo = 0
-            for ids, texts in parts([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), column], names=["i", "text"])], SLICE):
-                good[lo : lo + len(ids)] = net.scores([t.encode() for t in texts]) >= threshold
-                lo += len(ids)
-            yield b.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    def scores(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column, column], names=["i", "text"])
+        return pa.array(np.concatenate([net.scores([t.encode() for t in texts]) for _, texts in parts([batch], SLICE)] or [np.zeros(0)]), pa.float64())
+
+    return docs.where(F.arrow_udf(scores, "double")(F.col(text_col).cast("string")) >= threshold)

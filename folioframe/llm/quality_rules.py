@@ -3,15 +3,17 @@
 Each document's features are counted in its own row, without an exchange. Four of them, as whole
 numbers, go into quantile sketches: histograms whose buckets keep the leading bits of a value, so that
 a sketch is a set of (bucket, count) rows and merging is adding counts. There is a sketch for each
-language and source and, merged from these, one for each language. A fence over the quartiles of the
-sketch gives each group's thresholds, and the documents are joined with their group's.
+language and source and, merged from these, one for each language and one for all. A fence over the quartiles
+of the sketch gives each group's thresholds, and the documents are joined with their group's. Constants decide
+only where no sketch has enough documents; where the quartiles are equal, as for what most documents have
+none of, a least spread stands for their distance.
 
 A source with a third of all rows is counted in part in each task first; the sketch of a group has
 at most a few hundred rows however large the group. The features are written once to the shared folder.
 
 Null text counts as empty (no words: base rules fail). Null lang and source are values of their own. A
 null id stays, repeated rows each get a row, an empty table gives an empty result, other columns
-are ignored.
+are ignored (`keep_fit` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -33,23 +35,23 @@ BITS = 7
 @dataclass(frozen=True)
 class Rules:
     """Parameters. A document fails a metric beyond its group's fence: the quartile plus (or minus)
-    `reach` times the distance of the quartiles, but never within [`low`, `high`].
+    `reach` times the distance of the quartiles, or the metric's least spread if that is more.
 
     min_words, max_repeat: base rules (words; percent of words in repeated 3-word windows).
-    least: documents from which a group has a sketch of its own; below, its language's counts, and
-    below that the bounds alone.
+    least: documents from which a group has a sketch of its own; below, its language's counts, then
+    all documents' counts, and below that the metric's constants.
     """
 
     min_words: int = 50
     max_repeat: int = 50
-    reach: int = 4
+    reach: int = 8
     least: int = 100
-    #: Metric -> (low, high), in the metric's unit; None: no fence on that side.
-    bounds: tuple[tuple[str, int | None, int | None], ...] = (
-        ("word_length", 200, 1200),  # hundredths of a character
-        ("symbols", None, 500),  # per 10,000 characters in words
-        ("dup_lines", None, 5000),  # per 10,000 lines with a word
-        ("repeats", None, 4000),  # per 10,000 words
+    #: Metric -> (least spread, then the constants low and high), in the metric's unit; None: no fence on that side.
+    metrics: tuple[tuple[str, int, int | None, int | None], ...] = (
+        ("word_length", 10, 200, 1200),  # hundredths of a character
+        ("symbols", 25, None, 500),  # per 10,000 characters in words
+        ("dup_lines", 500, None, 5000),  # per 10,000 lines with a word
+        ("repeats", 600, None, 4000),  # per 10,000 words
     )
 
 
@@ -121,7 +123,7 @@ def features(docs: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col
 
 def sketch(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, metric, bucket, n) of the metrics of documents that pass the base rules."""
-    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m, _, _ in Rules.bounds]))
+    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m, *_ in Rules.metrics]))
     low = f"greatest(length(bin(v)) - {BITS}, 0)"
     bucket = F.expr(f"shiftleft(shiftright(v, {low}), {low})").alias("bucket")
     return values.where(~F.col("base_failed")).select(*keys, metrics.alias("m")).select(*keys, "m.*").groupBy(*keys, "metric", bucket).agg(F.count(F.lit(1)).alias("n"))
@@ -132,41 +134,49 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, docs, and lower and upper quartile of each metric (<metric>_q1, <metric>_q3)."""
+def fences(sketches: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """keys, <metric>_min and <metric>_max of the groups of `least` documents or more."""
     group = Window.partitionBy(*keys, "metric")
     ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
     # A quartile lies in a bucket: its lower edge stands for the first, its upper edge for the third.
-    edge = {1: F.col("bucket"), 3: F.expr(f"bucket + shiftleft(1L, greatest(length(bin(bucket)) - {BITS}, 0)) - 1")}
-    of = lambda m, q: F.min(F.when((F.col("metric") == m) & (4 * F.col("upto") >= q * F.col("docs")), edge[q]))
-    return ranked.groupBy(*keys).agg(F.max("docs").alias("docs"), *[of(m, q).alias(f"{m}_q{q}") for m, _, _ in Rules.bounds for q in (1, 3)])
+    upper = F.expr(f"bucket + shiftleft(1L, greatest(length(bin(bucket)) - {BITS}, 0)) - 1")
+    quartile = lambda q, edge: F.min(F.when(4 * F.col("upto") >= q * F.col("docs"), edge))
+    found = ranked.where(F.col("docs") >= rules.least).groupBy(*keys, "metric").agg(quartile(1, F.col("bucket")).alias("q1"), quartile(3, upper).alias("q3"))
+    out = []
+    for m, spread, low, high in rules.metrics:
+        far = rules.reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
+        sides = [("min", F.col("q1") - far)] * (low is not None) + [("max", F.col("q3") + far)] * (high is not None)
+        out += [F.max(F.when(F.col("metric") == m, x)).alias(f"{m}_{side}") for side, x in sides]
+    return found.groupBy(*keys).agg(*out)
 
 
 def thresholds(sketches: DataFrame, rules: Rules) -> DataFrame:
     """lang, source, <metric>_min, <metric>_max for each group that has a sketch."""
-    own, wide = quartiles(sketches, ["lang", "source"]), quartiles(merge(sketches, ["lang"]), ["lang"])
-    joined = own.alias("o").join(wide.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")), "left")
-    out = [F.col("o.lang").alias("lang"), F.col("o.source").alias("source")]
-    for m, low, high in rules.bounds:
-        q = [F.when(F.col("o.docs") >= rules.least, F.col(f"o.{m}_q{k}")).when(F.col("w.docs") >= rules.least, F.col(f"w.{m}_q{k}")) for k in (1, 3)]
-        if low is not None:
-            out.append(F.least(F.lit(low).cast("long"), q[0] - rules.reach * (q[1] - q[0])).alias(f"{m}_min"))
-        if high is not None:
-            out.append(F.greatest(F.lit(high).cast("long"), q[1] + rules.reach * (q[1] - q[0])).alias(f"{m}_max"))
-    return joined.select(*out)
+    groups = sketches.select("lang", "source").distinct()
+    tables = [fences(sketches, ["lang", "source"], rules), fences(merge(sketches, ["lang"]), ["lang"], rules), fences(merge(sketches, []), [], rules)]
+    limits = [c for c in tables[0].columns if c not in ("lang", "source")]
+    joined = groups
+    for k, (t, keys) in enumerate(zip(tables, (["lang", "source"], ["lang"], []), strict=True)):
+        t = t.withColumnsRenamed({c: f"{c}_{k}" for c in t.columns})
+        same = F.lit(True)
+        for c in keys:
+            same &= F.col(c).eqNullSafe(F.col(f"{c}_{k}"))
+        joined = joined.join(t, same, "left")
+    fixed = {f"{m}_{side}": x for m, _, low, high in rules.metrics for side, x in (("min", low), ("max", high))}
+    return joined.select("lang", "source", *[F.coalesce(*[f"{c}_{k}" for k in range(3)], F.lit(fixed[c]).cast("long")).alias(c) for c in limits])
 
 
 def judged(found: DataFrame, fence: DataFrame, rules: Rules) -> DataFrame:
-    """The features with their group's thresholds and `kept`."""
+    """The features with their group's thresholds and `kept`. (A group without a sketch has base failures alone.)"""
     fits = ~F.col("base_failed")
-    for m, low, high in rules.bounds:
+    for m, _, low, high in rules.metrics:
         if low is not None:
-            fits &= F.col(m) >= F.coalesce(f"{m}_min", F.lit(low).cast("long"))
+            fits &= F.col(m) >= F.col(f"{m}_min")
         if high is not None:
-            fits &= F.col(m) <= F.coalesce(f"{m}_max", F.lit(high).cast("long"))
+            fits &= F.col(m) <= F.col(f"{m}_max")
     t = fence.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    return found.join(t, same, "left").withColumn("kept", fits).drop("_lang", "_source")
+    return found.join(t, same, "left").withColumn("kept", F.coalesce(fits, F.lit(False))).drop("_lang", "_source")
 
 
 def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -175,7 +185,7 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "do
     found = Scratch(docs.sparkSession, "quality-rules").write(features(docs, rules, id_col, text_col, lang_col, source_col))
     fence = thresholds(sketch(found, ["lang", "source"]), rules)
     limits = [c for c in fence.columns if c not in ("lang", "source")]
-    return judged(found, fence, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[m for m, _, _ in rules.bounds], *limits)
+    return judged(found, fence, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[m for m, *_ in rules.metrics], *limits)
 
 
 #: Groups whose thresholds may be broadcast (about 100 bytes each).
@@ -185,15 +195,15 @@ BROADCAST_GROUPS = 20_000
 def keep_fit(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents (all columns) that pass.
 
-    Features are computed once for the sketches and again, beside the texts, for the filter: cheaper
-    than moving texts. The thresholds are broadcast if they are few, else joined by key.
+    Features are counted once and written beside the rows; thresholds and filter read them there. The
+    thresholds are broadcast if they are few, else joined by key.
     """
     rules, scratch = rules or Rules(), Scratch(docs.sparkSession, "quality-filter")
-    names = (id_col, text_col, lang_col, source_col)
-    fence = scratch.write(thresholds(sketch(features(docs, rules, *names), ["lang", "source"]), rules))
+    found = scratch.write(features(docs, rules, id_col, text_col, lang_col, source_col, carry=True))
+    fence = scratch.write(thresholds(sketch(found, ["lang", "source"]), rules))
     if fence.count() <= BROADCAST_GROUPS:
         fence = F.broadcast(fence)
-    return judged(features(docs, rules, *names, carry=True), fence, rules).where("kept").select("_row.*")
+    return judged(found, fence, rules).where("kept").select("_row.*")
 
 
 ORACLE_SQL = """
@@ -230,32 +240,37 @@ windows AS (
 ), fine AS (
   SELECT lang, source, metric, (v >> s) << s AS bucket, count(*) AS n
   FROM (SELECT *, greatest(length(bin(v)) - 7, 0)::BIGINT AS s FROM long) GROUP BY ALL
-), both_levels AS (
-  SELECT 1 AS own, * FROM fine
-  UNION ALL SELECT 0, lang, NULL, metric, bucket, sum(n) FROM fine GROUP BY lang, metric, bucket
+), levels AS (
+  SELECT 0 AS level, * FROM fine
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM fine GROUP BY lang, metric, bucket
+  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM fine GROUP BY metric, bucket
 ), ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY own, lang, source, metric ORDER BY bucket) AS upto,
-    sum(n) OVER (PARTITION BY own, lang, source, metric) AS docs FROM both_levels
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM levels
 ), q AS (
-  SELECT own, lang, source, metric, max(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1,
-    min(bucket + (1::BIGINT << greatest(length(bin(bucket)) - 7, 0)::BIGINT) - 1) FILTER (4 * upto >= 3 * docs) AS q3 FROM ranked GROUP BY ALL
+  SELECT level, lang, source, metric, min(bucket) FILTER (4 * upto >= docs) AS q1,
+    min(bucket + (1::BIGINT << greatest(length(bin(bucket)) - 7, 0)::BIGINT) - 1) FILTER (4 * upto >= 3 * docs) AS q3
+  FROM ranked WHERE docs >= 100 GROUP BY ALL
+), m AS (
+  SELECT * FROM (VALUES ('word_length', 10, 200, 1200), ('symbols', 25, 0, 500), ('dup_lines', 500, 0, 5000), ('repeats', 600, 0, 4000)) m(metric, spread, low, high)
+), fenced AS (
+  SELECT level, lang, source, metric, q1 - 8 * greatest(q3 - q1, spread) AS lo, q3 + 8 * greatest(q3 - q1, spread) AS hi
+  FROM q JOIN m USING (metric)
 ), chosen AS (
-  SELECT o.lang, o.source, o.metric, CASE WHEN o.docs >= 100 THEN o.q1 WHEN w.docs >= 100 THEN w.q1 END AS q1,
-    CASE WHEN o.docs >= 100 THEN o.q3 WHEN w.docs >= 100 THEN w.q3 END AS q3
-  FROM q o LEFT JOIN q w ON w.own = 0 AND o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric WHERE o.own = 1
+  SELECT g.lang, g.source, m.metric, coalesce(o.lo, w.lo, a.lo, m.low)::BIGINT AS lo, coalesce(o.hi, w.hi, a.hi, m.high)::BIGINT AS hi
+  FROM (SELECT DISTINCT lang, source FROM fine) g CROSS JOIN m
+  LEFT JOIN fenced o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN fenced w ON w.level = 1 AND w.metric = m.metric AND w.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN fenced a ON a.level = 2 AND a.metric = m.metric
 ), t AS (
-  SELECT lang, source,
-    max(least(200, q1 - 4 * (q3 - q1))) FILTER (metric = 'word_length')::BIGINT AS word_length_min,
-    max(greatest(1200, q3 + 4 * (q3 - q1))) FILTER (metric = 'word_length')::BIGINT AS word_length_max,
-    max(greatest(500, q3 + 4 * (q3 - q1))) FILTER (metric = 'symbols')::BIGINT AS symbols_max,
-    max(greatest(5000, q3 + 4 * (q3 - q1))) FILTER (metric = 'dup_lines')::BIGINT AS dup_lines_max,
-    max(greatest(4000, q3 + 4 * (q3 - q1))) FILTER (metric = 'repeats')::BIGINT AS repeats_max
+  SELECT lang, source, max(lo) FILTER (metric = 'word_length') AS word_length_min, max(hi) FILTER (metric = 'word_length') AS word_length_max,
+    max(hi) FILTER (metric = 'symbols') AS symbols_max, max(hi) FILTER (metric = 'dup_lines') AS dup_lines_max,
+    max(hi) FILTER (metric = 'repeats') AS repeats_max
   FROM chosen GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_length >= coalesce(word_length_min, 200) AND word_length <= coalesce(word_length_max, 1200)
-    AND symbols <= coalesce(symbols_max, 500) AND dup_lines <= coalesce(dup_lines_max, 5000)
-    AND repeats <= coalesce(repeats_max, 4000) AS kept,
+  coalesce(NOT base_failed AND word_length >= word_length_min AND word_length <= word_length_max
+    AND symbols <= symbols_max AND dup_lines <= dup_lines_max AND repeats <= repeats_max, false) AS kept,
   word_length, symbols, dup_lines, repeats, word_length_min, word_length_max, symbols_max, dup_lines_max, repeats_max
 FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
 """

@@ -1,7 +1,8 @@
 """Tables written to the shared folder that all executors see.
 
-The folder is what `spark.checkpoint.dir` names; where that is unset (tests, one machine) an own
-one is made. Written tables cut lineage and survive the loss of executors.
+The folder is what `spark.checkpoint.dir` names; where that is unset an own one is made on a single machine, and
+a cluster is refused. Written tables cut lineage and survive the loss of executors. What a result still reads stays
+until the folder is cleared, as a checkpoint does; everything else is dropped when it has been read.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a writer gathers before it writes.
+ROW_GROUP = 32 << 20
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder's path."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     if own := spark.sparkContext.getCheckpointDir():
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioframe-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -34,7 +41,7 @@ class Scratch:
         """The table, written once and read from there."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

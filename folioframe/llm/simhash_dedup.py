@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import narrow, parts
+from .arrow import fresh, held, narrow, parts
 from .components import components, forest
 from .scratch import Scratch
 
@@ -177,15 +177,9 @@ def candidate_costs(histogram: np.ndarray) -> np.ndarray:
     return out
 
 
-_COSTS: dict[str, np.ndarray] = {}
-
-
 def costs_of(run: str, histogram: np.ndarray) -> np.ndarray:
     """candidate_costs of a run's histograms, computed once per worker."""
-    if run not in _COSTS:
-        _COSTS.clear()
-        _COSTS[run] = candidate_costs(histogram)
-    return _COSTS[run]
+    return held(("costs", run), lambda: candidate_costs(histogram))
 
 
 def allocate(values: np.ndarray, costs: np.ndarray, reach: int) -> np.ndarray:
@@ -384,16 +378,16 @@ def bits_apart(similarity: float, words: int, deviations: int = 3) -> int:
     return round(n * p + deviations * (n * p * (1 - p)) ** 0.5)
 
 
-def shingle_sets(rows: DataFrame, shingle: int, words: int, text_col: str) -> DataFrame:
-    """_near_row, print and node (a hash of the set) of every text's distinct shingles."""
+def shingle_sets(rows: DataFrame, shingle: int, words: int) -> DataFrame:
+    """row, print and node (a hash of the set) of every text's distinct shingles; rows: row, text."""
 
     def run(batches):
         for keys, texts in parts(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([keys, as_lists(np.stack([majority(x, words) for x in sets])), pa.array(node)], names=["_near_row", "print", "node"])
+            yield pa.RecordBatch.from_arrays([keys, as_lists(np.stack([majority(x, words) for x in sets])), pa.array(node)], names=["row", "print", "node"])
 
-    return rows.select("_near_row", F.col(text_col).cast("string").alias("text")).mapInArrow(run, "_near_row long, print array<long>, node long")
+    return rows.mapInArrow(run, "row long, print array<long>, node long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -466,16 +460,16 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words:
     Exactly one row of a group stays: that of the least id (null last), and of the rows of one id the first.
     Values of a partition that many texts share are compared by block pairs alone.
     """
-    scratch, within = Scratch(docs.sparkSession, "near-copies"), bits_apart(similarity, compared)
-    rows = scratch.write(docs.withColumn("_near_row", F.monotonically_increasing_id()))
-    found = scratch.write(shingle_sets(rows, shingle, words, text_col))
-    sets = scratch.write(found.groupBy("node", "print").agg(F.min("_near_row").alias("_near_row")))
+    scratch, within, row = Scratch(docs.sparkSession, "near-copies"), bits_apart(similarity, compared), fresh(docs, "_row")
+    rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = scratch.write(shingle_sets(texts, shingle, words))
+    sets = scratch.write(found.groupBy("node", "print").agg(F.min("row").alias("row")))
     met = components(link_prints(sets, words, 64 * words // WIDTH - 1, within, scratch, refine=1 << 62, compared=compared), scratch)
     members = met.unionAll(met.select(F.col("component").alias("node"), "component").distinct())
-    texts = members.join(sets.select("node", "_near_row"), "node").join(rows.select("_near_row", F.col(text_col).cast("string").alias("text")), "_near_row")
-    linked = components(verified(texts.select("component", "node", "text"), shingle, compared, similarity, within), scratch)
-    ids = rows.select("_near_row", F.col(id_col).cast("long").alias("doc_id"))
-    named = found.select("node", "_near_row").join(linked, "node", "left").select("_near_row", F.coalesce("component", "node").alias("root")).join(ids, "_near_row")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_near_row"))["_near_row"].alias("stays"))
-    others = named.join(first, "root").where("_near_row <> stays").select("_near_row")
-    return rows.join(others, "_near_row", "left_anti").drop("_near_row")
+    linked = components(verified(members.join(sets.select("node", "row"), "node").join(texts, "row").select("component", "node", "text"), shingle, compared, similarity, within), scratch)
+    named = found.select("node", "row").join(linked, "node", "left").select("row", F.coalesce("component", "node").alias("root"))
+    named = named.join(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id")), "row")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    others = named.join(first, "root").where("row <> stays").select(F.col("row").alias(row))
+    return rows.join(others, row, "left_anti").drop(row)

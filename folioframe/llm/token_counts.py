@@ -10,21 +10,22 @@ table gives an empty result, other columns are ignored.
 
 from __future__ import annotations
 
-import functools
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import by_bytes, narrow, parts
+from .arrow import by_bytes, held, n_bytes, narrow, parts
 from .units import Memory, byte_bpe_units, load_tokenizer, sentencepiece_units
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Characters given to the library at once.
+#: Bytes given to the library at once.
 BATCH = 1_000_000
 
 
-@functools.lru_cache(maxsize=4)
 def _counter(path: str):
+    return held(("lengths", path), lambda: _new_counter(path))
+
+
+def _new_counter(path: str):
     """(cut, memory, whole): how to cut a text, the lengths of pieces, the length of an uncut text."""
     if path.endswith(".model"):
         import sentencepiece
@@ -68,7 +69,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
         for ids, texts in parts(batches):
             n = count_texts(texts, tokenizer)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [ids, pa.array(list(map(n_bytes, texts)), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

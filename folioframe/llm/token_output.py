@@ -10,23 +10,22 @@ self-contained byte string (`encode_segment`) of whole documents. Spark writes t
 Parquet files, so that any store serves and a lost task is simply run again; `Segment` reads
 one from bytes or from a memory-mapped file.
 
-Null text counts as empty (the end id alone), null ids come first, repeated ids stay apart in
-the order of their texts' hashes, an empty table gives no rows, other columns are ignored.
+Null text counts as empty (the end id alone), null ids come first, rows of one id stay apart in
+the order of their token ids, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import narrow, parts
+from .arrow import held, narrow, parts
 from .scratch import Scratch
 from .units import Memory, byte_bpe_units, byte_bpe_words, library_ids, load_tokenizer, special
 
@@ -38,9 +37,9 @@ SEGMENTS = "shard int, segment int, start long, n_ids long, data binary"
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chunks, bitmap of those that go on, rank directory) of each level."""
-    levels, rest = [], ids.astype(np.uint32)
+    levels, rest = [], ids
     while True:
-        chunk = (rest & ((1 << CHUNK) - 1)).astype(np.uint8)
+        chunk = rest.astype(np.uint8)  # the lowest CHUNK bits
         rest = rest >> CHUNK
         more = rest > 0
         blocks = -(-len(more) // BLOCK)
@@ -54,17 +53,16 @@ def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
         rest = rest[more]
 
 
-def encode_segment(doc_ids: list[int | None], docs: list[np.ndarray], start: int) -> bytes:
+def encode_segment(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, start: int) -> bytes:
     """A segment: header, documents' ids, null marks and ends, then each level.
 
-    start: ids of the shard's documents before it.
+    ids: of all documents, one after another, up to `ends`. start: ids of the shard's documents before it.
     """
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
     levels = encode_levels(ids)
-    out = [MAGIC, struct.pack("<QQQQ", start, len(ids), len(docs), len(levels))]
+    out = [MAGIC, struct.pack("<QQQQ", start, len(ids), len(doc_ids), len(levels))]
     out.append(np.array([i or 0 for i in doc_ids], "<i8").tobytes())
     out.append(np.array([i is None for i in doc_ids], np.uint8).tobytes())
-    out.append(np.cumsum([len(d) for d in docs], dtype="<u8").tobytes())
+    out.append(ends.astype("<u8").tobytes())
     for chunk, bitmap, directory in levels:
         out += [struct.pack("<Q", len(chunk)), chunk.tobytes(), bitmap.tobytes(), directory.tobytes()]
     return b"".join(out)
@@ -135,9 +133,8 @@ class Segment:
         return value
 
 
-@functools.lru_cache(maxsize=4)
 def _encoder(path: str) -> Memory:
-    return Memory(library_ids(load_tokenizer(path), special), split=byte_bpe_words)
+    return held(("byte_ids", path), lambda: Memory(library_ids(load_tokenizer(path), special), split=byte_bpe_words))
 
 
 def byte_ids(texts: list[str], path: str) -> list[bytes]:
@@ -145,37 +142,62 @@ def byte_ids(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(x) for x in _encoder(path).look_up([byte_bpe_units(t) for t in texts])]
 
 
+def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
+    """Least doc_id of each shard but the first, so that shards have about as many documents: only ids are read."""
+    shares = [k / shards for k in range(1, shards)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * shards))).first()[0] if shares else None
+    return np.array(found or [], np.int64)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, segment_ids: int = 500_000, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts, append end_id to each, and write segments in ascending order of doc_id.
 
-    segment_ids: a segment ends with the document that brings it to so many ids.
+    Texts are encoded where they are read; ids alone are dealt to shards, two bytes each if the vocabulary
+    allows. segment_ids: a segment ends with the document that brings it to so many ids.
     """
-    spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrowed = narrow(docs, id_col, text_col)
+    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = shard_bounds(narrowed, n)
+    kind = "<u2" if max(load_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
-        shard, k, start, size, ids, held = TaskContext.get().partitionId(), 0, 0, 0, [], []
+    def encode(batches):
+        for doc_ids, texts in parts(batches):
+            own = pa.array(np.searchsorted(bounds, pc.fill_null(doc_ids, np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32))
+            data = byte_ids(texts, tokenizer)
+            size = np.array([len(x) // 4 + 1 for x in data], np.int64)
+            flat = np.frombuffer(end.join([*data, b""]), "<u4").astype(kind)
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(data), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size * flat.itemsize)))), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([own, doc_ids, ids.cast(pa.binary())], names=["shard", "doc_id", "ids"])
+
+    def write(batches):
+        shard, k, start, ids, held_ids, ends, size = None, 0, 0, [], [], [], 0
 
         def segment():
-            data = encode_segment(ids, held, start)
+            data = encode_segment(ids, np.concatenate(held_ids), np.array(ends), start)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["shard", "segment", "start", "n_ids", "data"]
             )
 
-        for doc_ids, texts in parts(batches):
-            for i, data in zip(doc_ids.to_pylist(), byte_ids(texts, tokenizer), strict=True):
+        for batch in batches:
+            for own, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if own != shard:
+                    if ends:
+                        yield segment()
+                    shard, k, start, ids, held_ids, ends, size = own, 0, 0, [], [], [], 0
                 ids.append(i)
-                held.append(np.frombuffer(data + end, "<u4"))
-                size += len(held[-1])
+                held_ids.append(np.frombuffer(data.as_buffer(), kind))
+                size += len(held_ids[-1])
+                ends.append(size)
                 if size >= segment_ids:
                     yield segment()
-                    k, start, size, ids, held = k + 1, start + size, 0, [], []
-        if held:
+                    k, start, ids, held_ids, ends, size = k + 1, start + size, [], [], [], 0
+        if ends:
             yield segment()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    narrow(docs, id_col, text_col).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, SEGMENTS).write.parquet(path)
+    order = ["shard", F.col("doc_id").asc_nulls_first(), "ids"]
+    encoded = narrowed.mapInArrow(encode, "shard int, doc_id long, ids binary")
+    encoded.repartitionById(n, F.col("shard")).sortWithinPartitions(*order).mapInArrow(write, SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_segment_access(tmp_path):
     rnd = np.random.default_rng(2)
     docs = [rnd.integers(0, 1 << rnd.integers(1, 31), rnd.integers(0, 3000)).astype(np.uint32) for _ in range(20)]
     file = tmp_path / "s"
-    file.write_bytes(token_output.encode_segment([None, *range(19)], docs, 5))
+    file.write_bytes(token_output.encode_segment([None, *range(19)], np.concatenate(docs), np.cumsum(list(map(len, docs))), 5))
     s, flat = token_output.Segment(np.memmap(file, np.uint8, "r")), np.concatenate(docs)
     assert (s.start, s.n_ids, s.doc_ids) == (5, len(flat), [None, *range(19)])
     assert s.ids(0, len(flat)).tolist() == flat.tolist()
