@@ -1,9 +1,11 @@
-"""Burrows-Wheeler transforms of small string sets, merged by iterative interleave refinement.
+"""Burrows-Wheeler transforms of string sets, merged by iterative interleave refinement.
 
-A shard's transform comes from its sorted suffixes. Shards are merged without sorting suffixes again:
-an interleave says which shard each place of the merged transform comes from; passing it through the
-merged transform once makes it right for one more symbol. The round in which two neighbours part is
-their common prefix, and the blocks that never part are the repeated intervals.
+Strings are dealt to shards, and a shard's transform comes from its sorted suffixes. Shards are merged
+without sorting suffixes again: an interleave lists places of the shards' transforms in merged order, as far
+as it is known; passing it once through the transforms (each place's symbol leads to the suffix one symbol
+longer, in its shard) makes it right for one more symbol. Places whose block has no other place are settled and
+leave the interleave, so that a suffix takes part in as many rounds as it has symbols in common with
+another: the round in which it leaves is its common prefix, and the blocks that stay are the repeated intervals.
 
 Strings are lists of positive numbers; 0 stands for an end.
 """
@@ -18,67 +20,71 @@ import numpy as np
 @dataclass
 class Shards:
     """Transforms one after another. bwt: the symbol before each sorted suffix, 0 before a string's first;
-    string, offset: of the suffix; sizes, strings: of each shard."""
+    string, offset: of the suffix; longer: place of the suffix with that symbol before it (of no use where it is 0);
+    shard: of each place."""
 
     bwt: np.ndarray
     string: np.ndarray
     offset: np.ndarray
-    sizes: np.ndarray
-    strings: np.ndarray
+    longer: np.ndarray
+    shard: np.ndarray
 
 
 def transform(strings: list[list[int]], per_shard: int) -> Shards:
-    """The transforms of shards of `per_shard` strings each. Ends sort first, by string."""
+    """The transforms of shards of `per_shard` strings each. Ends sort first, by string.
+
+    Suffixes are sorted by doubling the symbols that their ranks stand for, all shards in the same steps.
+    """
     sizes = np.array([len(s) + 1 for s in strings])
-    string, last = np.repeat(np.arange(len(strings)), sizes), np.cumsum(sizes) - 1
+    string, last = np.repeat(np.arange(len(strings)), sizes), np.repeat(np.cumsum(sizes) - 1, sizes)
     symbols = np.array([x for s in strings for x in (*s, 0)], np.int64)
-    place = np.arange(len(symbols)) - np.repeat(last + 1 - sizes, sizes)
-    before = np.concatenate(([0], symbols[:-1]))
+    n, at = len(symbols), np.arange(len(symbols))
     shard = string // per_shard
-    # Suffixes of one string whose symbols differ are in the order of their first symbols.
-    order = np.lexsort((symbols, string))
-    again = np.flatnonzero((symbols[order][1:] == symbols[order][:-1]) & (string[order][1:] == string[order][:-1]))
-    if per_shard > 1 or len(again):
-        order = np.array(sorted(range(len(symbols)), key=lambda i: (shard[i], strings[string[i]][place[i] :], string[i])), np.int64)
-    groups = np.arange(-(-len(strings) // per_shard))
-    return Shards(before[order], string[order], place[order], np.bincount(shard, minlength=len(groups)), np.minimum(per_shard, len(strings) - groups * per_shard))
-
+    end, k = symbols == 0, 1
+    # An end's rank is its string's: no two ends are equal, so each suffix differs from all others at its end.
+    order = np.lexsort((np.where(end, string, 0), symbols, shard))
+    while True:
+        same = (shard[order][1:] == shard[order][:-1]) & (symbols[order][1:] == symbols[order][:-1]) & ~end[order][1:] if k == 1 else key[order][1:] == key[order][:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(~same)))
+        if not same.any():
+            break
+        key = rank * (n + 1) + np.where(at + k <= last, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        order, k = np.argsort(key, kind="stable"), 2 * k
+    before = np.concatenate(([0], symbols[:-1]))[order]
+    longer = np.empty(n, np.int64)
+    longer[np.lexsort((before, shard[order]))] = at
+    return Shards(before, string[order], order - (last[order] + 1 - sizes[string[order]]), longer, shard[order])
 
-def merge(shards: Shards, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, common prefix with the suffix before) of all suffixes in merged order.
 
-    Common prefixes are exact below `depth` and `depth` otherwise; an end equals any other end.
-    """
-    n, kind = len(shards.bwt), np.uint16 if len(shards.sizes) < 1 << 16 else np.uint32
-    _, symbols = np.unique(shards.bwt, return_inverse=True)
-    symbols = symbols.astype(np.uint16 if symbols.max(initial=0) < 1 << 16 else np.uint32)
-    ends = np.repeat(np.arange(len(shards.sizes)), shards.strings).astype(kind)
-    source, block = np.repeat(np.arange(len(shards.sizes)), shards.sizes).astype(kind), np.zeros(n, np.int64)
-    common, known = np.full(n + 1, depth, np.int64), 0
-    common[0] = common[n] = 0
-    for h in range(depth):
-        merged = np.empty(n, symbols.dtype)
-        merged[np.argsort(source, kind="stable")] = symbols
-        moved = np.argsort(merged, kind="stable")
-        source, before, symbol = source[moved], block[moved], merged[moved]
-        source[: len(ends)], before[: len(ends)] = ends, 0
-        parts = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        at = np.flatnonzero(parts) + 1
-        common[at] = np.minimum(common[at], h)
-        block = np.concatenate(([0], np.cumsum(parts)))
-        if h and len(at) == known:
-            break
-        known = len(at)
-    place = np.argsort(np.argsort(source, kind="stable"), kind="stable")
-    return shards.string[place], shards.offset[place], common
+def merge(shards: Shards) -> np.ndarray:
+    """The longest prefix that each suffix shares with another, of its shard or any other."""
+    _, symbols = np.unique(np.concatenate(([0], shards.bwt)), return_inverse=True)
+    symbols = symbols[1:].astype(np.uint16 if symbols.max() < 1 << 16 else np.uint32)
+    common, longer = np.zeros(len(symbols), np.int32), shards.longer.astype(np.int32)
+    places, block, h = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32), 0
+    while True:
+        symbol = symbols[places]
+        inner = np.flatnonzero(symbol)
+        if not len(inner):
+            return common
+        h += 1
+        moved = inner[np.argsort(symbol[inner], kind="stable")]
+        symbol, block = symbol[moved], block[moved]
+        parts = np.ones(len(moved) + 1, bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=parts[1:-1])
+        parts[1:-1] |= block[1:] != block[:-1]
+        stay = np.flatnonzero(~(parts[:-1] & parts[1:]))
+        block, places = np.cumsum(parts[:-1], dtype=np.int32)[stay], longer[places[moved[stay]]]
+        common[places] = h
 
 
-def longest_elsewhere(strings: list[list[int]], depth: int, per_shard: int = 1) -> list[np.ndarray]:
-    """For each string and offset the longest prefix, at most `depth`, shared with another suffix."""
+def longest_elsewhere(strings: list[list[int]], per_shard: int = 16) -> list[np.ndarray]:
+    """For each string and offset the longest prefix shared with another suffix."""
     if not strings:
         return []
-    string, offset, common = merge(transform(strings, per_shard), depth)
+    shards = transform(strings, per_shard)
     first = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])))
     flat = np.zeros(first[-1], np.int64)
-    flat[first[string] + offset] = np.maximum(common[:-1], common[1:])
+    flat[first[shards.string] + shards.offset] = merge(shards)
     return [flat[a:b] for a, b in zip(first, first[1:], strict=False)]

@@ -3,6 +3,7 @@
 A byte goes if a string of `length` bytes that covers it also starts elsewhere. To bring equal
 strings together without sorting all suffixes of all texts in one place:
 
+0. A text of `length` bytes or more that occurs twice goes whole; one row stands for it in what follows.
 1. Each string of `length` bytes has an anchor, the least hashed 32-byte gram among its first `width`
    places; equal strings have it at the same distance a. An anchor's strings all hold its core, the
    length - width + 1 bytes from the anchor on. Only anchors whose core occurs twice go on.
@@ -10,13 +11,14 @@ strings together without sorting all suffixes of all texts in one place:
    that its strings reach; a context that occurs twice repeats whole.
 3. Within a group, contexts are strings of symbols around one for what all of them share; a symbol is
    a run of bytes up to where contexts part, and bytes past the longest match with any other context
-   can't repeat and are left out. Shards of contexts are transformed, the transforms merged (`bwt`),
-   and the common prefixes say which strings repeat.
+   can't repeat and are left out. Contexts are dealt to shards of 16, each shard is transformed, the
+   transforms are merged (`bwt`), and the common prefixes say which strings repeat.
 
 Groups are bounded: one with more than `most` contexts is split, exactly, by the distance a. A
 narrower range of distances has a longer core and shorter contexts; a range of one distance has
-nothing but the core. All exchanges are joins and sums by key, and equal contexts are one row of a
-group, so that no large group of copies meets in a task.
+nothing but the core. All exchanges are joins and sums by key: sums begin where the rows are, joins are of
+written tables, whose hot keys adaptive execution deals to several tasks, and equal texts and equal contexts
+are one row before they meet. Contexts of one core are told apart by 64-bit hashes.
 
 Null text counts as empty. Texts shorter than `length` bytes keep everything. Repeated rows are
 places of their own and lose their copies' bytes as others do; null ids stay. An empty table gives an
@@ -36,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import fresh
 from .bwt import longest_elsewhere
 from .scratch import Scratch
 from .simhash_dedup import sorted_groups
@@ -129,17 +132,9 @@ def repeated_ranges(groups: list[list[tuple[bytes, bytes, int, int]]], width: in
         core = number
         number += 1
         made.append(([[*x[1][:0:-1], core, *y[1][1:]] for x, y in zip(left, right, strict=True)], [(x[0], y[0]) for x, y in zip(left, right, strict=True)]))
-    # Groups share no symbol; those with strings of like lengths are merged together.
-    alike: dict[int, list[int]] = {}
-    for k, (strings, _) in enumerate(made):
-        alike.setdefault(max(map(len, strings)).bit_length(), []).append(k)
-    answers: dict[int, list] = {}
-    for some in alike.values():
-        strings = [x for k in some for x in made[k][0]]
-        found = iter(longest_elsewhere(strings, max(map(len, strings))))
-        for k in some:
-            answers[k] = [(shape, next(found)) for shape in made[k][1]]
-    shared = iter([x for k in range(len(groups)) for x in answers[k]])
+    # Groups share no symbol, so that all can be merged together.
+    found = longest_elsewhere([x for strings, _ in made for x in strings])
+    shared = iter(zip([shape for _, shapes in made for shape in shapes], found, strict=True))
     out = []
     for group in groups:
         out.append([])
@@ -226,8 +221,8 @@ def find_anchors(texts: DataFrame, length: int, width: int) -> DataFrame:
 _CONTEXT = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("context", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
-def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> DataFrame:
-    """Each item (rid, place) with its core's 128-bit and its context's 64-bit hash; at: the core's first byte,
+def contexts(texts: DataFrame, lists: DataFrame, length: int, width: int) -> DataFrame:
+    """Each place of lists (rid, items) with its core's 128-bit and its context's 64-bit hash; at: the core's first byte,
     which distances count from. A task gives the bytes around the core with a context's first item alone."""
 
     def run(batches):
@@ -249,7 +244,6 @@ def contexts(texts: DataFrame, items: DataFrame, length: int, width: int) -> Dat
 
         yield from _in_batches(rows(), _CONTEXT)
 
-    lists = items.groupBy("rid").agg(F.collect_set("place").alias("items"))
     return texts.join(lists, "rid").select("rid", "text", "items").mapInArrow(run, "hi long, lo long, context long, rid long, at long, near int, far int, left binary, right binary")
 
 
@@ -331,20 +325,32 @@ def repeated_contexts(rows: DataFrame, scratch: Scratch, width: int, most: int,
     return out.unionByName(back.select(F.col("of_hi").alias("hi"), F.col("of_lo").alias("lo"), F.col("of_context").alias("context"), (F.col("_near") + F.col("shift")).alias("near"), (F.col("_far") + F.col("shift")).alias("far")))
 
 
+def equal_texts(texts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """rid, bytes and other (whether another row stands for it) of the texts of `length` bytes or more that occur
+    twice. Texts are told apart by 128-bit hashes; one row stands for each group from its smallest rid."""
+    same = ["same_1", "same_2"]
+    sized = texts.select("rid", F.xxhash64("text").alias("same_1"), F.xxhash64(F.lit(1), "text").alias("same_2"), F.octet_length("text").cast("long").alias("bytes")).where(F.col("bytes") >= length)
+    groups = scratch.write(sized.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")).where("n > 1").drop("n"))
+    return scratch.write(sized.join(groups, same).select("rid", "bytes", (F.col("rid") != F.col("first")).alias("other")))
+
+
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """rid, begin, end of strings of `length` bytes that also start elsewhere, as overlapping spans."""
     if width > 512:
         raise ValueError("distances are packed in nine bits")
+    copies = equal_texts(texts, scratch, length)
     found = scratch.write(find_anchors(texts, length, width))
-    twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    rows = scratch.write(contexts(texts, found.join(twice, "core").select("rid", "place"), length, width))
-    scratch.drop(found)
+    # Written, so that the join reads two plain exchanges and can deal a hot core's rows to several tasks.
+    twice = scratch.write(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+    lists = found.join(twice, "core").groupBy("rid").agg(F.collect_set("place").alias("items")).join(copies.where("other").select("rid").distinct(), "rid", "left_anti")
+    rows = scratch.write(contexts(texts, lists, length, width))
+    scratch.drop(found, twice)
     scratch.release()
     ranges, keys = scratch.write(repeated_contexts(rows, scratch, width, most, FINER)), [*KEY, "context"]
     scratch.release()
     spans = rows.select(*keys, "rid", "at").join(ranges, keys).select("rid", (F.col("at") - F.col("far")).alias("begin"), (F.col("at") - F.col("near") + length).alias("end"))
-    out = scratch.write(spans)
-    scratch.drop(rows, ranges)
+    out = scratch.write(spans.unionByName(copies.select("rid", F.lit(0).cast("long").alias("begin"), F.col("bytes").alias("end"))))
+    scratch.drop(rows, ranges, copies)
     scratch.release()
     return out
 
@@ -364,31 +370,31 @@ def remaining(data: bytes, runs: list[list[int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)], strict=True))
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, width: int, most: int) -> DataFrame:
-    """The documents with _repeat_spans."""
-    scratch = Scratch(docs.sparkSession, "repeats")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, width: int, most: int) -> tuple[DataFrame, str]:
+    """(the documents with a column of spans, its name)."""
+    scratch, spans, own = Scratch(docs.sparkSession, "repeats"), fresh(docs, "_spans"), fresh(docs, "_own")
     rid = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(rid.alias("rid"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(texts, scratch, length, width, most)
-    lists = spans.groupBy("rid").agg(F.collect_set(F.struct("begin", "end")).alias("_repeat_spans")).withColumnRenamed("rid", "_repeat_rid")
-    return docs.withColumn("_repeat_own", rid).join(lists, F.col("_repeat_own") == F.col("_repeat_rid"), "left").drop("_repeat_own", "_repeat_rid")
+    found = repeated_spans(texts, scratch, length, width, most)
+    lists = found.groupBy(F.col("rid").alias(own)).agg(F.collect_set(F.struct("begin", "end")).alias(spans))
+    return docs.withColumn(own, rid).join(lists, own, "left").drop(own), spans
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
-    found = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", length, width, most)
+    found, spans = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", length, width, most)
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         def rows():
             for b, i, data in _texts(batches):
-                runs = united([(s["begin"], s["end"]) for s in b.column("_repeat_spans")[i].as_py() or ()])
+                runs = united([(s["begin"], s["end"]) for s in b.column("spans")[i].as_py() or ()])
                 kept = remaining(data, runs)
                 yield b.column("doc_id")[i].as_py(), len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
 
         yield from _in_batches(rows(), kind)
 
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_repeat_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(spans).alias("spans")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
 
     Bytes of a character that a cut leaves incomplete go too. A null text stays null.
     """
-    found = _with_spans(docs, id_col, text_col, length, width, most)
+    found, own = _with_spans(docs, id_col, text_col, length, width, most)
 
     def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -411,6 +417,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([cut(b.column(n), b.column("_repeat_spans")) if n == text_col else b.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([cut(b.column(n), b.column(own)) if n == text_col else b.column(n) for n in names], names=names)
 
-    return found.select(*names, "_repeat_spans").mapInArrow(run, docs.schema)
+    return found.select(*names, own).mapInArrow(run, docs.schema)
