@@ -4,6 +4,7 @@ All templates and phrases go into one automaton over word numbers. A text's word
 through it and give matching statistics: at each place the longest run of words ending there that
 some template has. Runs that cannot grow are long matches; matches of one template that follow
 each other in text and template are chained, and the chain's share of the template is its coverage.
+A label is given from the short notice that names a licence as well as from whole grants.
 
 The automaton has a bounded size (it depends on the templates alone) and travels with the function.
 No shuffle. Null text counts as empty; a text without words has zero counts, null places, empty
@@ -25,16 +26,42 @@ from .arrow import narrow, parts
 #: Label of each base phrase.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening or granting passages of public licences, by label.
+#: Short notices and opening or granting passages of public licences, by label; each is a template of its own.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-notice": "this work is licensed under a creative commons attribution",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mit": (
+        "released under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    ),
+    "apache-2.0": (
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    ),
+    "bsd": (
+        "distributed under the bsd license",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    ),
+    "gpl-notice": (
+        "this work is licensed under the gnu general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    ),
+    "mpl-2.0": (
+        "subject to the terms of the mozilla public license v 2 0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    ),
+    "isc": (
+        "released under the isc license",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "cc-notice": (
+        "licensed under cc by 4 0",
+        "licensed under cc by nc 4 0",
+        "this work is licensed under a creative commons attribution",
+    ),
+    "unlicense": (
+        "released into the public domain",
+        "this is free and unencumbered software released into the public domain",
+    ),
+    "reserved-notice": ("copyright all rights reserved",),
 }
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,coverage:double>>"
 
@@ -54,9 +81,11 @@ class Automaton:
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    #: Template -> places in it (exclusive ends) where the state's runs end.
-    ends: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])
-    sizes: dict[str, int] = field(default_factory=dict)
+    #: Template (its number) -> places in it (exclusive ends) where the state's runs end.
+    ends: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
+    #: Label and words of each template.
+    labels: list[str] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
     #: Per state the phrases that end wherever the state is reached: (words, label).
     phrases: list[list[tuple[int, str]]] = field(default_factory=list)
     pairs: np.ndarray | None = None
@@ -94,24 +123,26 @@ class Automaton:
         return [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
 
     @classmethod
-    def build(cls, templates: dict[str, str], base: dict[str, str]) -> Automaton:
+    def build(cls, templates: dict[str, tuple[str, ...]], base: dict[str, str]) -> Automaton:
         a = cls()
-        runs = {label: a.number(words_of(t)) for label, t in templates.items()}
+        a.labels = [label for label, texts in templates.items() for _ in texts]
+        runs = [a.number(words_of(t)) for texts in templates.values() for t in texts]
         phrases = {tuple(a.number(words_of(p))): label for p, label in base.items()}
-        for run in [*runs.values(), *phrases]:
+        for run in [*runs, *phrases]:
             last = 0
             for c in run:
                 last = a._extend(last, c)
-        for label, run in runs.items():
-            a.sizes[label], s = len(run), 0
+        a.sizes = list(map(len, runs))
+        for k, run in enumerate(runs):
+            s = 0
             for i, c in enumerate(run):
                 s = a.step[s][c]
-                a.ends[s].setdefault(label, []).append(i + 1)
+                a.ends[s].setdefault(k, []).append(i + 1)
         for s in sorted(range(1, len(a.step)), key=lambda s: -a.length[s]):
-            for label, places in a.ends[s].items():
+            for k, places in a.ends[s].items():
                 if a.link[s] > 0:
                     up = a.ends[a.link[s]]
-                    up[label] = sorted({*up.get(label, ()), *places})
+                    up[k] = sorted({*up.get(k, ()), *places})
         own = defaultdict(list)
         for p, label in phrases.items():
             s = 0
@@ -123,7 +154,7 @@ class Automaton:
             a.phrases[s] = own[s] + a.phrases[a.link[s]]
         n = len(a.vocabulary) + 1
         a.pairs = np.zeros(n * n, bool)
-        for run in [*runs.values(), *phrases]:
+        for run in [*runs, *phrases]:
             for x, y in zip(run, run[1:], strict=False):
                 a.pairs[x * n + y] = True
         return a
@@ -177,19 +208,20 @@ def scan(text: str, a: Automaton, shortest: int, gap: int, share: float) -> dict
     get = a.vocabulary.get
     ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
     base: list[tuple[int, str]] = []
-    found: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for lo, hi in a.stretches(ids):
         stats = [*a.statistics(ids[lo:hi].tolist()), (0, 0)]
         for i, (s, n) in enumerate(stats[:-1]):
-            base += [(lo + i + 1 - size, label) for size, label in a.phrases[s] if size <= n]
-            if n >= shortest and stats[i + 1][1] <= n:
-                for label, places in a.ends[s].items():
-                    found[label] += [(lo + i + 1 - n, e - n, n) for e in places]
-    spans = []
-    for label, matches in found.items():
-        coverage, start, end = chains(matches, a.sizes[label], gap)
-        if coverage >= share:
-            spans.append({"label": label, "start": start, "end": end, "coverage": coverage})
+            phrases = [(lo + i + 1 - size, label) for size, label in a.phrases[s] if size <= n]
+            base += phrases
+            if phrases or n >= shortest and stats[i + 1][1] <= n:
+                for k, places in a.ends[s].items():
+                    found[k] += [(lo + i + 1 - n, e - n, n) for e in places]
+    best: dict[str, tuple[float, int, int]] = {}
+    for k, matches in found.items():
+        coverage, start, end = chains(matches, a.sizes[k], gap)
+        best[a.labels[k]] = max(best.get(a.labels[k], (0.0, 0, 0)), (coverage, -start, end))
+    spans = [{"label": label, "start": -start, "end": end, "coverage": coverage} for label, (coverage, start, end) in best.items() if coverage >= share]
     places, labels = [b[0] for b in base], {b[1] for b in base}
     return {
         "n_words": len(words),
@@ -198,19 +230,20 @@ def scan(text: str, a: Automaton, shortest: int, gap: int, share: float) -> dict
         "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(labels)),
         "labels": ",".join(sorted(labels | {x["label"] for x in spans})),
-        "score": max([0.5 if base else 0.0, *(x["coverage"] for x in spans)]),
+        "score": max([x[0] for x in best.values()], default=1.0 if base else 0.0),
         "spans": sorted(spans, key=lambda x: (x["start"], x["label"])),
     }
 
 
 def license_scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None, shortest: int = 4, gap: int = 12, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, base: dict[str, str] | None = None, shortest: int = 4, gap: int = 12, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Base phrases and covered template spans of every whole text (SCHEMA).
 
-    shortest: words of a match that takes part in a chain. gap: words left out between two matches of
-    a chain, of the text or the template. share: coverage from which a template's label is given.
-    score: the best coverage, at least 0.5 with a base phrase.
+    shortest: words of a match that takes part in a chain; one that ends in a base phrase always does. gap: words
+    left out between two matches of a chain, of the text or the template. share: coverage from which a
+    template's label is given; spans: the best chain of each such label. score: the best coverage of any
+    template (1 for a base phrase that no template has).
     """
     a = Automaton.build(TEMPLATES if templates is None else templates, BASE if base is None else base)
 

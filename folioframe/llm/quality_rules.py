@@ -3,7 +3,7 @@
 Each document's features are counted in its own row, without an exchange. Four of them, as whole
 numbers, go into quantile sketches: histograms whose buckets keep the leading bits of a value, so that
 a sketch is a set of (bucket, count) rows and merging is adding counts. There is a sketch for each
-language and source and, merged from these, one for each language and one for all. A fence over the quartiles
+language and source and, merged from these, one for each language. A fence over the quartiles
 of the sketch gives each group's thresholds, and the documents are joined with their group's. Constants decide
 only where no sketch has enough documents; where the quartiles are equal, as for what most documents have
 none of, a least spread stands for their distance.
@@ -38,8 +38,8 @@ class Rules:
     `reach` times the distance of the quartiles, or the metric's least spread if that is more.
 
     min_words, max_repeat: base rules (words; percent of words in repeated 3-word windows).
-    least: documents from which a group has a sketch of its own; below, its language's counts, then
-    all documents' counts, and below that the metric's constants.
+    least: documents from which a group has a sketch of its own; below, its language's counts, and
+    below that the metric's constants.
     """
 
     min_words: int = 50
@@ -153,17 +153,14 @@ def fences(sketches: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
 def thresholds(sketches: DataFrame, rules: Rules) -> DataFrame:
     """lang, source, <metric>_min, <metric>_max for each group that has a sketch."""
     groups = sketches.select("lang", "source").distinct()
-    tables = [fences(sketches, ["lang", "source"], rules), fences(merge(sketches, ["lang"]), ["lang"], rules), fences(merge(sketches, []), [], rules)]
+    tables = [fences(sketches, ["lang", "source"], rules), fences(merge(sketches, ["lang"]), ["lang"], rules)]
     limits = [c for c in tables[0].columns if c not in ("lang", "source")]
     joined = groups
-    for k, (t, keys) in enumerate(zip(tables, (["lang", "source"], ["lang"], []), strict=True)):
+    for k, (t, keys) in enumerate(zip(tables, (["lang", "source"], ["lang"]), strict=True)):
         t = t.withColumnsRenamed({c: f"{c}_{k}" for c in t.columns})
-        same = F.lit(True)
-        for c in keys:
-            same &= F.col(c).eqNullSafe(F.col(f"{c}_{k}"))
-        joined = joined.join(t, same, "left")
+        joined = joined.join(t, [F.col(c).eqNullSafe(F.col(f"{c}_{k}")) for c in keys], "left")
     fixed = {f"{m}_{side}": x for m, _, low, high in rules.metrics for side, x in (("min", low), ("max", high))}
-    return joined.select("lang", "source", *[F.coalesce(*[f"{c}_{k}" for k in range(3)], F.lit(fixed[c]).cast("long")).alias(c) for c in limits])
+    return joined.select("lang", "source", *[F.coalesce(*[f"{c}_{k}" for k in range(2)], F.lit(fixed[c]).cast("long")).alias(c) for c in limits])
 
 
 def judged(found: DataFrame, fence: DataFrame, rules: Rules) -> DataFrame:
@@ -243,7 +240,6 @@ windows AS (
 ), levels AS (
   SELECT 0 AS level, * FROM fine
   UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM fine GROUP BY lang, metric, bucket
-  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM fine GROUP BY metric, bucket
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
     sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM levels
@@ -257,11 +253,10 @@ windows AS (
   SELECT level, lang, source, metric, q1 - 8 * greatest(q3 - q1, spread) AS lo, q3 + 8 * greatest(q3 - q1, spread) AS hi
   FROM q JOIN m USING (metric)
 ), chosen AS (
-  SELECT g.lang, g.source, m.metric, coalesce(o.lo, w.lo, a.lo, m.low)::BIGINT AS lo, coalesce(o.hi, w.hi, a.hi, m.high)::BIGINT AS hi
+  SELECT g.lang, g.source, m.metric, coalesce(o.lo, w.lo, m.low)::BIGINT AS lo, coalesce(o.hi, w.hi, m.high)::BIGINT AS hi
   FROM (SELECT DISTINCT lang, source FROM fine) g CROSS JOIN m
   LEFT JOIN fenced o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
   LEFT JOIN fenced w ON w.level = 1 AND w.metric = m.metric AND w.lang IS NOT DISTINCT FROM g.lang
-  LEFT JOIN fenced a ON a.level = 2 AND a.metric = m.metric
 ), t AS (
   SELECT lang, source, max(lo) FILTER (metric = 'word_length') AS word_length_min, max(hi) FILTER (metric = 'word_length') AS word_length_max,
     max(hi) FILTER (metric = 'symbols') AS symbols_max, max(hi) FILTER (metric = 'dup_lines') AS dup_lines_max,

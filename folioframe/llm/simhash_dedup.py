@@ -470,6 +470,5 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words:
     linked = components(verified(members.join(sets.select("node", "row"), "node").join(texts, "row").select("component", "node", "text"), shingle, compared, similarity, within), scratch)
     named = found.select("node", "row").join(linked, "node", "left").select("row", F.coalesce("component", "node").alias("root"))
     named = named.join(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id")), "row")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
-    others = named.join(first, "root").where("row <> stays").select(F.col("row").alias(row))
-    return rows.join(others, row, "left_anti").drop(row)
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
+    return rows.join(stays, row, "left_semi").drop(row)

@@ -37,23 +37,66 @@ def test_license_base(spark, odd_docs, no_docs):
 def test_matching_statistics():
     rnd = np.random.default_rng(3)
     for _ in range(50):
-        runs = {str(k): " ".join(rnd.choice(list("abc"), rnd.integers(1, 9))) for k in range(3)}
+        runs = {str(k): (" ".join(rnd.choice(list("abc"), rnd.integers(1, 9))),) for k in range(3)}
         a = license_scan.Automaton.build(runs, {})
         text = rnd.choice(list("abcx"), 30).tolist()
         ids = [a.vocabulary.get(w.encode(), 0) for w in text]
-        has = lambda p: any(f" {' '.join(p)} " in f" {r} " for r in runs.values())
+        has = lambda p: any(f" {' '.join(p)} " in f" {r} " for (r,) in runs.values())
         for i, (_, n) in enumerate(a.statistics(ids)):
             assert n == max((k for k in range(i + 2) if k == 0 or has(text[i + 1 - k : i + 1])), default=0)
 
 
 def test_license_spans():
     a = license_scan.Automaton.build(license_scan.TEMPLATES, license_scan.BASE)
-    t = license_scan.TEMPLATES["mit"].split()
+    t = license_scan.TEMPLATES["mit"][-1].split()
     found = license_scan.scan("Intro. " + " ".join(t[:20] + ["changed"] + t[21:]) + " end", a, 4, 12, 0.6)
     assert found["labels"] == "mit" and found["spans"][0]["start"] == 1 and found["score"] > 0.95
     assert license_scan.scan(" ".join(t[:10]), a, 4, 12, 0.6)["labels"] == ""
 
 
+def test_license_notices():
+    a = license_scan.Automaton.build(license_scan.TEMPLATES, license_scan.BASE)
+    label = lambda t: (lambda r: (r["labels"], round(r["score"], 2)))(license_scan.scan(t, a, 4, 12, 0.6))
+    assert label("Released under the MIT License.") == ("mit", 1)
+    assert label("Licensed under the Apache License, Version 2.0.") == ("apache-2.0", 1)
+    assert label("under the GNU General Public License") == ("gpl", 0.5)
+    assert label("All rights reserved.") == ("reserved,reserved-notice", 0.75)
+    assert label("the license under which the public may use it") == ("", 0)
+
+
+def slow_scan(text, templates, base, shortest, gap, share):
+    """Labels and score from all pairs of places of all templates, and all chains of their matches."""
+    w, score, labels = WORD.findall(lower(text)), 0.0, set()
+    hits = {i + len(p.split()) - 1: label for p, label in base.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    every = [t.split() for texts in templates.values() for t in texts] + [p.split() for p in base]
+    longest = [max((n for n in range(1, i + 2) if any(w[i + 1 - n : i + 1] == t[k : k + n] for t in every for k in range(len(t) - n + 1))), default=0) for i in range(len(w))] + [0]
+    for name, texts in templates.items():
+        for t in (x.split() for x in texts):
+            m = sorted({(i + 1 - longest[i], k, longest[i]) for i in range(len(w)) if longest[i] > 1 and (i in hits or longest[i] >= shortest and longest[i + 1] <= longest[i]) for k in range(len(t) - longest[i] + 1) if t[k : k + longest[i]] == w[i + 1 - longest[i] : i + 1]})
+            best = []
+            for at, u, n in m:
+                own = n
+                for (b, v, k), c in zip(m, best, strict=False):
+                    over = max(0, b + k - at, v + k - u)
+                    if b < at and v < u and over < n and at - b - k <= gap and u - v - k <= gap and at - b <= gap + len(t):
+                        own = max(own, c + n - over)
+                best.append(own)
+            cover = min(1.0, max(best, default=0) / len(t))
+            score, labels = max(score, cover), labels | ({name} if cover >= share else set())
+    return ",".join(sorted(labels | set(hits.values()))), score if score or not hits else 1.0
+
+
+def test_license_scan_is_brute_force():
+    rnd = np.random.default_rng(13)
+    templates = {"x": ("a b c d e f", "c d a b"), "y": ("f e d c b a a b",), "z": ("b b c a d",)}
+    base = {"c d": "base", "a a": "twice", "e e": "alone"}
+    a = license_scan.Automaton.build(templates, base)
+    for _ in range(400):
+        text = " ".join(rnd.choice(list("abcdefx"), rnd.integers(0, 30)))
+        got = license_scan.scan(text, a, 3, 4, 0.6)
+        assert (got["labels"], got["score"]) == slow_scan(text, templates, base, 3, 4, 0.6), text
+
+
 def counts(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -91,6 +134,17 @@ def test_quality_rules_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
 
 
+def test_thresholds_come_from_the_data(spark):
+    """They differ between groups, none is the constant that stands in for a missing sketch, and they turn documents away."""
+    got = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed").collect()
+    assert len({(r["word_length_min"], r["word_length_max"]) for r in got}) > 1
+    fixed = {f"{m}_{side}": x for m, _, low, high in quality_rules.Rules().metrics for side, x in (("min", low), ("max", high)) if x}
+    common = max({r["word_length_max"] for r in got}, key=[r["word_length_max"] for r in got].count)
+    assert common != fixed["word_length_max"]
+    for m in ("word_length", "symbols"):
+        assert any(r[m] > r[f"{m}_max"] and not r["kept"] for r in got)
+
+
 def test_classifier_learns(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
