@@ -115,7 +115,7 @@ def segments(blocks: DataFrame, keys: list[str], order: str, most: int = 1200) -
 
     def step(state, row):
         number, role, size, ended = state
-        text = row.text.strip()
+        text = (row.text or "").strip()
         joins = role == row.role and (role == "code" or (role == "body" and not ended and size + len(text) <= most))
         number, size = (number, size + len(text)) if joins else (number + 1, len(text))
         return number, (number, row.role, size, text[-1:] in ".!?:;\"'”’)]}")

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, intersection, ioa, overlaps
 
-#: Labels by priority for a character, most important first.
+#: Labels by priority for a character, most important first; the first place of a label counts.
 PRIORITY = (
     "number", "reference", "reference_content", "algorithm", "formula_caption", "isolate_formula", "table_footnote", "table_caption", "figure_caption", "figure_title",
     "chart_title", "table_title", "table_cell_hybrid", "table_text", "wireless_table_cell", "wired_table_cell", "abandon", "title", "abstract", "paragraph_title", "content",
     "doc_title", "footnote", "header", "footer", "seal", "plain text", "tiny text", "author_info_hybrid", "list_item_hybrid", "text", "paragraph_hybrid", "paragraph",
-    "table_cell", "figure_text", "list_item", "caption", "footnote_hybrid", "formula", "formula_hybrid", "page_header", "page_footer", "fallback_line", "table", "figure", "image",
+    "table_cell", "figure_text", "list_item", "title", "caption", "footnote_hybrid", "footnote", "formula", "formula_hybrid", "page_header", "page_footer", "reference_hybrid",
+    "document_hybrid", "academic_paper_hybrid", "form_or_table_hybrid", "presentation_slide_hybrid", "webpage_screenshot_hybrid", "manga_or_comic_hybrid", "advertisement_hybrid",
+    "magazine_or_newspaper_hybrid", "other_hybrid", "table_cell_hybrid", "figure_text_hybrid", "title_hybrid", "caption_hybrid", "code_algo_hybrid", "line_number_hybrid",
+    "page_header_hybrid", "page_footer_hybrid", "page_number_hybrid", "unknown_hybrid", "fallback_line", "table", "figure", "image",
 )
 #: Labels whose regions hold text.
 TEXT_LABELS = (
@@ -22,7 +25,6 @@ TEXT_LABELS = (
     "list_item_hybrid", "title_hybrid", "fallback_line", "author_info_hybrid", "page_header_hybrid", "page_footer_hybrid", "footnote_hybrid",
 )
 BODY_LABELS = ("text", "plain text", "paragraph_hybrid")
-FORMULA_LABELS = ("formula", "isolate_formula")
 
 
 def pairs(a: DataFrame, b: DataFrame, keys: list[str], how: str, condition) -> DataFrame:
@@ -36,7 +38,7 @@ def pairs(a: DataFrame, b: DataFrame, keys: list[str], how: str, condition) -> D
 def best_region(chars: DataFrame, regions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """J-CHAR-LAYOUT: each character's region by label priority, then covered share, then id; null if none
     overlaps. Labels without a priority come last."""
-    rank = F.create_map(*[F.lit(x) for i, name in enumerate(PRIORITY) for x in (name, i)])
+    rank = F.create_map(*[F.lit(x) for name in dict.fromkeys(PRIORITY) for x in (name, PRIORITY.index(name))])
     ranked = regions.withColumn("_rank", F.coalesce(rank[F.col("label")], F.lit(len(PRIORITY))))
     a, b = Box.of("a"), Box.of("b")
     joined = pairs(chars, ranked, keys, "left", intersection(a, b) > 0)
@@ -44,10 +46,15 @@ def best_region(chars: DataFrame, regions: DataFrame, keys: list[str], order: li
     return joined.withColumn("_n", F.row_number().over(own)).where("_n = 1").select("a.*", F.col("b.id").alias("region"), F.col("b.label").alias("label"))
 
 
-def first_formula(chars: DataFrame, regions: DataFrame, keys: list[str], order: list[str], share: float = 0.4) -> DataFrame:
-    """J-CHAR-FORMULA: least id of the formula regions that cover more than a share of the character."""
-    formulas = regions.where(F.col("label").isin(*FORMULA_LABELS))
-    joined = pairs(chars, formulas, keys, "left", ioa(Box.of("a"), Box.of("b")) > share)
+def first_formula(chars: DataFrame, regions: DataFrame, keys: list[str], order: list[str], share: float = 0.4, second: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """J-CHAR-FORMULA: least id of the regions labelled formula that cover more than a share of the character.
+
+    second: columns of the character's other box, which counts where it covers less than 0.2 of the first.
+    """
+    if second:
+        a, b = Box.of(), Box.of(names=second)
+        chars = chars.withColumns({c: F.when(ioa(a, b) < 0.2, F.col(o)).otherwise(F.col(c)) for c, o in zip(("x", "y", "x2", "y2"), second, strict=True)})
+    joined = pairs(chars, regions.where("label = 'formula'"), keys, "left", ioa(Box.of("a"), Box.of("b")) > share)
     return joined.groupBy(*[F.col(f"a.{k}") for k in order]).agg(F.min("b.id").alias("formula"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import fold
+
 
 def weights(stages: DataFrame, enabled: Column) -> DataFrame:
     """ST-STAGES: weights of the enabled stages, summing to 1."""
@@ -36,15 +38,11 @@ def missing_terminal(log: DataFrame, keys: list[str], terminal: Column) -> DataF
 
 
 def throttle(log: DataFrame, keys: list[str], order: str, at: Column, interval: float) -> DataFrame:
-    """ST-THROTTLE: an event comes out if it is at least `interval` after the last one that CAME OUT.
-
-    The fold over a key's events runs in the JVM; a key is one execution.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(order).alias("o"))))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast(f"array<{dict(log.dtypes)[order]}>").alias("out"))
+    """ST-THROTTLE: an event comes out if it is at least `interval` after the last one that CAME OUT."""
 
-    def step(acc: Column, x: Column) -> Column:
-        due = x["t"] - acc["last"] >= interval
-        return F.struct(F.when(due, x["t"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["out"], F.array(x["o"]))).otherwise(acc["out"]).alias("out"))
+    def step(last, row):
+        due = row.at - last >= interval
+        return due, row.at if due else last
 
-    return log.groupBy(*keys).agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("_out")).select(*keys, F.explode("_out").alias(order))
+    rows = log.select(*keys, order, at.alias("at"))
+    return fold(rows, keys, ["at", order], "due boolean", lambda: float("-inf"), step).where("due").select(*keys, order)

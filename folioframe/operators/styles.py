@@ -6,11 +6,10 @@ order (`ordered.fold`): tolerances chain from a run's first row, not from neighb
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import fold
+from .ordered import by_group, fold
 
 
 def same_style(a: str, b: str) -> Column:
@@ -50,7 +49,8 @@ def style_runs(chars: DataFrame, keys: list[str], order: str) -> DataFrame:
         number, style, after_formula = state
         if row.formula:
             return number + 1, (number + 1, style, True)
-        same = style is not None and style[0] == row.font and style[2] == row.state and abs(style[1] - row.size) < 0.02
+        alike = lambda a, b: a is b if a is None or b is None else abs(a - b) < 0.02
+        same = style is not None and style[0] == row.font and style[2] == row.state and alike(style[1], row.size)
         if same and not after_formula:
             return number, (number, style, False)
         return number + 1, (number + 1, style if same else (row.font, row.size, row.state), False)
@@ -82,11 +82,12 @@ def classify(chars: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     def step(state, row):
         inside, size, corner = state
-        small = size is not None and row.size < 0.79 * size
-        stays = corner and size is not None and row.size < size / 0.79 and row.size <= 1.1 * 0.79 * size
+        known = size is not None and row.size is not None
+        small = known and row.size < 0.79 * size
+        stays = corner and known and row.size < size / 0.79 and row.size <= 1.1 * 0.79 * size
         corner = bool(small or stays)
         formula = bool(row.starts or corner or (inside and row.goes_on))
-        return formula, (formula, size if corner else row.size, corner)
+        return formula, (formula, size if corner or row.size is None else row.size, corner)
 
     return fold(chars, keys, order, "formula boolean", lambda: (False, None, False), step)
 
@@ -100,9 +101,10 @@ def islands(chars: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     def step(state, row):
         number, region, obj, empty = state
-        blank = not row.text.strip()
-        tiny = row.area < 0.05 * row.median
-        new = number == 0 or (not tiny and ((row.region != region and not blank) or row.object != obj or (empty and row.text in "■•◦▪")))
+        text = row.text or ""
+        blank = not text.strip()
+        tiny = row.area is not None and row.median is not None and row.area < 0.05 * row.median
+        new = number == 0 or (not tiny and ((row.region != region and not blank) or row.object != obj or (empty and text != "" and text in "■•◦▪")))
         if new:
             number, region, obj, empty = number + 1, row.region, row.object, True
         return number, (number, region, obj, empty and blank)
@@ -130,7 +132,7 @@ def merge_numbered(paragraphs: DataFrame, keys: list[str], order: str) -> DataFr
     def step(state, row):
         into, region, obj, seen = state
         here = getattr(row, order)
-        known = pd.notna(row.region) and pd.notna(row.object)
+        known = row.region is not None and row.object is not None
         if row.number and into is not None:
             return here, (into, region, obj, True)
         if seen and known and row.region == region and row.object == obj:
@@ -140,89 +142,115 @@ def merge_numbered(paragraphs: DataFrame, keys: list[str], order: str) -> DataFr
     return fold(paragraphs, keys, order, "merged long", lambda: (None, None, None, False), step)
 
 
+def united(boxes: list[tuple], slack: float) -> list[list]:
+    """[id, x, y, x2, y2, n] of boxes (id, x, y, x2, y2) in order of x, merged until none touch.
+
+    A stretch that a gap parts from others stays apart whatever merges; one whose boxes share a height is one
+    box. Else each box takes in all it touches, with what it has grown to, before the next one comes.
+    """
+    out, stretch = [], []
+
+    def close():
+        left = [[i, x, y, x2, y2, 1] for i, x, y, x2, y2 in stretch]
+        if max(b[2] for b in left) < min(b[4] for b in left):
+            left = [[min(b[0] for b in left), left[0][1], min(b[2] for b in left), max(b[3] for b in left), max(b[4] for b in left), len(left)]]
+        apart: list[list] = []
+        for b in left:
+            k = 0
+            while k < len(apart):
+                a = apart[k]
+                if a[1] - slack <= b[3] and b[1] - slack <= a[3] and a[2] < b[4] and b[2] < a[4]:
+                    b = [min(a[0], b[0]), min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), a[5] + b[5]]
+                    del apart[k]
+                    k = 0
+                else:
+                    k += 1
+            apart.append(b)
+        out.extend(apart)
+
+    end = None
+    for box in boxes:
+        if stretch and box[1] - slack > end:
+            close()
+            stretch = []
+        end = max(end, box[3]) if stretch else box[3]
+        stretch.append(box)
+    if stretch:
+        close()
+    return out
+
+
 def merge_formulas(formulas: DataFrame, keys: list[str], slack: float = 5.0) -> DataFrame:
     """W-FORMULA-MERGE: formulas of a line whose boxes touch or nearly touch are one, until none do.
 
-    Boxes grow as they merge, so the merging is repeated within a line. Columns id, x, y, x2, y2.
+    Columns id, x, y, x2, y2; a merged formula has the least id and n, the number of its parts.
     """
-    kinds = dict(formulas.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [[r.id, r.x, r.y, r.x2, r.y2, 1] for r in pdf.sort_values("id").itertuples()]
-        again = True
-        while again:
-            again = False
-            for i in range(len(boxes)):
-                for j in range(i + 1, len(boxes)):
-                    a, b = boxes[i], boxes[j]
-                    if a[1] - slack <= b[3] and b[1] - slack <= a[3] and a[2] < b[4] and b[2] < a[4]:
-                        boxes[i] = [a[0], min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), a[5] + b[5]]
-                        del boxes[j]
-                        again = True
-                        break
-                if again:
-                    break
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), *b) for b in boxes], columns=[*keys, "id", "x", "y", "x2", "y2", "n"])
-
-    return formulas.select(*keys, "id", "x", "y", "x2", "y2").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "id long, x double, y double, x2 double, y2 double, n long"]))
+    rows = formulas.select(*keys, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "x2", "y2")])
+    return by_group(rows, keys, ["x", "id"], "id long, x double, y double, x2 double, y2 double, n long", lambda boxes: united(boxes, slack))
 
 
 def split_formula(text: Column) -> Column:
     """W-FORMULA-SPLIT: parts at commas outside brackets; closing brackets too many count for nothing."""
-    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array(F.lit(0)).alias("cuts"))
 
     def step(acc: Column, c: Column) -> Column:
         depth = F.when(c.isin("(", "[", "{"), acc["depth"] + 1).when(c.isin(")", "]", "}"), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
         cut = (c == ",") & (acc["depth"] == 0)
-        grown = F.concat(F.slice(acc["parts"], 1, F.size(acc["parts"]) - 1), F.array(F.concat(F.element_at(acc["parts"], -1), c)))
-        return F.struct(depth.alias("depth"), F.when(cut, F.concat(acc["parts"], F.array(F.lit("")))).otherwise(grown).alias("parts"))
+        return F.struct((acc["at"] + 1).alias("at"), depth.alias("depth"), F.when(cut, F.concat(acc["cuts"], F.array(acc["at"] + 1))).otherwise(acc["cuts"]).alias("cuts"))
 
-    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["parts"])
+    ends = F.aggregate(F.split(text, ""), start, step, lambda acc: F.concat(acc["cuts"], F.array(F.length(text) + 1)))
+    between = lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.substring(text, F.get(e, k - 1) + 1, F.get(e, k) - F.get(e, k - 1) - 1))
+    return F.transform(F.array(ends), between)[0]
 
 
 def spread_overlaps(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """W-OVERLAP-FIX: vertical overlaps of boxes of a page are split at their middle, 1 to each side, again and
     again; a box within another stays. Columns id, x, y, x2, y2."""
-    kinds = dict(boxes.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = [[r.id, r.x, r.y, r.x2, r.y2] for r in pdf.sort_values("id").itertuples()]
+    def made(rows: list[tuple]) -> list[list]:
+        b = [list(r) for r in rows]
+        # Boxes that are apart sideways never meet, as only heights change.
+        beside = [(i, j) for i, a in enumerate(b) for j, c in enumerate(b[i + 1 :], i + 1) if a[1] < c[3] and c[1] < a[3]]
         for _ in range(len(b) ** 2):
             moved = False
-            for i in range(len(b)):
-                for j in range(i + 1, len(b)):
-                    p, q = (b[i], b[j]) if b[i][4] >= b[j][4] else (b[j], b[i])
-                    inside = (p[1] <= q[1] and p[3] >= q[3] and p[2] <= q[2]) or (q[1] <= p[1] and q[3] >= p[3] and q[2] <= p[2] and q[4] >= p[4])
-                    if inside or p[1] >= q[3] or q[1] >= p[3] or p[2] >= q[4]:
-                        continue
-                    middle = (p[2] + q[4]) / 2
-                    if middle + 1 < p[4] and middle - 1 > q[2]:
-                        p[2], q[4], moved = middle + 1, middle - 1, True
+            for i, j in beside:
+                p, q = (b[i], b[j]) if b[i][4] >= b[j][4] else (b[j], b[i])
+                if p[2] >= q[4]:
+                    continue
+                inside = (p[1] <= q[1] and p[3] >= q[3] and p[2] <= q[2]) or (q[1] <= p[1] and q[3] >= p[3] and q[2] <= p[2] and q[4] >= p[4])
+                middle = (p[2] + q[4]) / 2
+                if not inside and middle + 1 < p[4] and middle - 1 > q[2]:
+                    p[2], q[4], moved = middle + 1, middle - 1, True
             if not moved:
                 break
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), *x) for x in b], columns=[*keys, "id", "x", "y", "x2", "y2"])
+        return b
 
-    return boxes.select(*keys, "id", "x", "y", "x2", "y2").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "id long, x double, y double, x2 double, y2 double"]))
+    rows = boxes.select(*keys, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "x2", "y2")])
+    return by_group(rows, keys, ["id"], "id long, x double, y double, x2 double, y2 double", made)
 
 
 def cluster_lines(chars: DataFrame, keys: list[str], reach: float = 3.5) -> DataFrame:
     """W-LINE-CLUSTER: characters of a page into lines: bands that overlap by more than half, then neighbours
     within `reach` mean widths. Columns id, x, y, x2, y2; gives id and line."""
-    kinds = dict(chars.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["y2", "x"], ascending=[False, True])
-        band, top, low, number = [], None, None, 0
-        for r in p.itertuples():
-            if top is None or (min(top, r.y2) - max(low, r.y)) <= 0.5 * min(top - low, r.y2 - r.y):
-                number, top, low = number + 1, r.y2, r.y
-            band.append(number)
-        p = p.assign(band=band).sort_values(["band", "x"])
-        far = reach * (p.x2 - p.x).mean()
-        new = (p.band != p.band.shift()) | (p.x - p.x2.shift() > far)
-        return p.assign(line=new.cumsum())[[*keys, "id", "line"]]
-
-    return chars.select(*keys, "id", "x", "y", "x2", "y2").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "id long, line long"]))
+
+    def made(rows: list[tuple]) -> list[tuple]:
+        bands, top, low = [], None, None
+        for i, x, y, x2, y2 in rows:
+            if top is None or (min(top, y2) - max(low, y)) <= 0.5 * min(top - low, y2 - y):
+                top, low = y2, y
+                bands.append([])
+            bands[-1].append((x, i, x2))
+        far, line, out = reach * sum(r[3] - r[1] for r in rows) / len(rows), 0, []
+        for band in bands:
+            end = None
+            for x, i, x2 in sorted(band):
+                line += end is None or x - end > far
+                end = x2
+                out.append((i, line))
+        return out
+
+    rows = chars.select(*keys, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "x2", "y2")])
+    return by_group(rows, keys, [F.desc("y2"), F.asc("x"), F.asc("id")], "id long, line long", made)
 
 
 def formula_offsets(items: DataFrame, keys: list[str], order: str) -> DataFrame:

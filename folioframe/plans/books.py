@@ -34,9 +34,13 @@ def q_needs_placeholder(spark, sf):
     return j.select("a.doc_id", "a.line", styles.needs_placeholder("a", "b", F.create_map(*map(F.lit, ("A", "X", "B", "X")))).alias("needed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, page_no, line, line % 6 = 5 AS formula, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line) AS k, {_STYLE} FROM {{lines}}),
+  r AS (SELECT doc_id, page_no, line, k, 1::BIGINT AS run, font, size, state, NOT formula AS has, formula AS after FROM s WHERE k = 1 UNION ALL
+  SELECT s.doc_id, s.page_no, s.line, s.k, r.run + (s.formula OR r.after OR NOT alike)::INT, CASE WHEN s.formula OR alike THEN r.font ELSE s.font END, CASE WHEN s.formula OR alike THEN r.size ELSE s.size END, CASE WHEN s.formula OR alike THEN r.state ELSE s.state END, r.has OR NOT s.formula, s.formula
+  FROM r JOIN s ON s.doc_id = r.doc_id AND s.page_no = r.page_no AND s.k = r.k + 1, LATERAL (SELECT r.has AND r.font IS NOT DISTINCT FROM s.font AND r.state IS NOT DISTINCT FROM s.state AND abs(r.size - s.size) < 0.02 AS alike))
+  SELECT doc_id, line, run FROM r""")
 def q_style_runs(spark, sf):
-    """W-RUN-STYLE; tested against a model."""
+    """W-RUN-STYLE."""
     return styles.style_runs(_styled(spark, sf).withColumn("formula", F.col("line") % 6 == 5), ["doc_id", "page_no"], "line").select("doc_id", "line", "run")
 
 
@@ -50,7 +54,7 @@ def q_base_style(spark, sf):
 
 @query()
 def q_classify(spark, sf):
-    """W-CLASSIFY, P-PAGE-FORMULAS, F-TRANSFORM-FORMULA; tested against a model."""
+    """W-CLASSIFY, P-PAGE-FORMULAS, F-TRANSFORM-FORMULA."""
     c = F.substring("text", 1, 1)
     each = words(spark, sf).where("text <> ''").withColumns({"size": F.expr("cast(10 - 3 * (word % 4 div 3) as double)"), "starts": t.formula_start(c), "goes_on": t.formula_middle(c)})
     return styles.classify(each, ["doc_id", "line"], "word").select("doc_id", "line", "word", "formula")
@@ -58,49 +62,62 @@ def q_classify(spark, sf):
 
 @query()
 def q_para_islands(spark, sf):
-    """W-PARA-ISLANDS; tested against a model."""
+    """W-PARA-ISLANDS."""
     each = words(spark, sf).withColumns({"region": F.expr("line div 4"), "object": F.expr("line div 9"), "area": F.expr("(x2 - x) * (y2 - y)"), "median": F.lit(300.0), "at": F.expr("line * 100000 + word")})
     return styles.islands(each, ["doc_id", "page_no"], "at").select("doc_id", "line", "word", "paragraph")
 
 
 @query()
 def q_stacked(spark, sf):
-    """W-STACKED; tested against a model."""
+    """W-STACKED."""
     each = words(spark, sf).selectExpr("doc_id", "line", "word", "y + (word % 3) * 5 + word * 0.0001 as y", "10D as height")
     return styles.stacked(each, ["doc_id", "line"], "word").select("doc_id", "line", "word", "baseline")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT doc_id, page_no, line, line // 7 AS region, regexp_matches(text, '^[0-9 \\t\\n\\r\\f]*$') AS number, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line) AS k FROM {lines}),
+  r AS (SELECT doc_id, page_no, line, k, line AS merged, line AS into_, region, false AS seen FROM s WHERE k = 1 UNION ALL
+  SELECT s.doc_id, s.page_no, s.line, s.k, CASE WHEN NOT s.number AND r.seen AND s.region = r.region THEN r.into_ ELSE s.line END, CASE WHEN s.number OR r.seen AND s.region = r.region THEN r.into_ ELSE s.line END,
+    CASE WHEN s.number OR r.seen AND s.region = r.region THEN r.region ELSE s.region END, s.number OR r.seen AND s.region = r.region FROM r JOIN s ON s.doc_id = r.doc_id AND s.page_no = r.page_no AND s.k = r.k + 1)
+  SELECT doc_id, line, merged FROM r""")
 def q_lineno_merge(spark, sf):
-    """W-LINENO-MERGE; tested against a model."""
+    """W-LINENO-MERGE."""
     each = lines(spark, sf).select("doc_id", "page_no", "line", F.expr("line div 7").alias("region"), F.lit(1).alias("object"), t.digits_and_space(F.col("text")).alias("number"))
     return styles.merge_numbered(each, ["doc_id", "page_no"], "line").select("doc_id", "line", "merged")
 
 
-@query()
+@query("""WITH w AS (SELECT *, word % 3 = 0 AS first, max(x2) OVER (PARTITION BY doc_id, line, word % 3 = 0 ORDER BY x, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {words}),
+  s AS (SELECT *, sum((before IS NULL OR x - 5 > before)::INT) OVER (PARTITION BY doc_id, line, first ORDER BY x, word) AS k FROM w)
+  SELECT doc_id, line, first, min(word) AS id, min(x) AS x, min(y) AS y, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM s GROUP BY doc_id, line, first, k""")
 def q_formula_merge(spark, sf):
-    """W-FORMULA-MERGE over all words, those of either role on their own; tested against a model."""
+    """W-FORMULA-MERGE over all words, those of either role on their own; words of a line share its height."""
     each = words(spark, sf).withColumns({"id": F.col("word"), "first": F.expr("word % 3 = 0")})
     return styles.merge_formulas(each, ["doc_id", "line", "first"])
 
 
-@query("""SELECT doc_id, line, count(*) AS parts, max(length(p))::BIGINT AS longest FROM (SELECT doc_id, line, unnest(string_split(replace(replace(text, '(', ''), ')', ''), ',')) AS p FROM {lines} WHERE text NOT LIKE '%[%' AND text NOT LIKE '%{%') GROUP BY ALL""")
+_OPEN, _SHUT = "c IN ('(', '[', '{')", "c IN (')', ']', '}')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, line, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM {{lines}} WHERE text <> ''),
+  d AS (SELECT *, sum(CASE WHEN {_OPEN} THEN 1 WHEN {_SHUT} THEN -1 ELSE 0 END) OVER w AS s FROM c WINDOW w AS (PARTITION BY doc_id, line ORDER BY i)),
+  e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id, line ORDER BY i)) AS depth FROM d),
+  p AS (SELECT *, sum((c = ',' AND depth = 0)::INT) OVER (PARTITION BY doc_id, line ORDER BY i) AS part FROM e),
+  n AS (SELECT doc_id, line, part, count(*) - max((part > 0)::INT) AS size FROM p GROUP BY ALL)
+  SELECT doc_id, line, (max(part) + 1)::BIGINT AS parts, max(size)::BIGINT AS longest FROM n GROUP BY ALL UNION ALL SELECT doc_id, line, 1, 0 FROM {{lines}} WHERE text = ''""")
 def q_formula_split(spark, sf):
-    """W-FORMULA-SPLIT, F-SPLIT-FORMULA, on lines without brackets."""
-    some = lines(spark, sf).where("text not like '%[%' and text not like '%{%'")
-    parts = some.select("doc_id", "line", F.explode(styles.split_formula(F.translate("text", "()", ""))).alias("p"))
+    """W-FORMULA-SPLIT, F-SPLIT-FORMULA."""
+    parts = lines(spark, sf).select("doc_id", "line", F.explode(styles.split_formula(F.col("text"))).alias("p"))
     return parts.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("parts"), F.max(F.length("p")).cast("long").alias("longest"))
 
 
 @query()
 def q_overlap_fix(spark, sf):
-    """W-OVERLAP-FIX; tested against a model."""
+    """W-OVERLAP-FIX."""
     return styles.spread_overlaps(regions(spark, sf), ["doc_id", "page_no"])
 
 
 @query()
 def q_line_cluster(spark, sf):
-    """W-LINE-CLUSTER; tested against a model."""
+    """W-LINE-CLUSTER."""
     return styles.cluster_lines(words(spark, sf).withColumn("id", F.expr("line * 100000 + word")), ["doc_id", "page_no"])
 
 
@@ -131,7 +148,7 @@ def q_roles(spark, sf):
 
 @query()
 def q_segments(spark, sf):
-    """W-JOIN-BLOCKS; tested against a model."""
+    """W-JOIN-BLOCKS."""
     each = lines(spark, sf).withColumn("role", F.when(t.code_like(F.col("text")), "code").when(t.folio(F.col("text")), "page_number").otherwise("body"))
     return blocks.segments(each, ["doc_id"], "line").select("doc_id", "line", "role", "segment")
 
@@ -171,20 +188,22 @@ def q_formula_offset(spark, sf):
     return styles.formula_offsets(i, ["doc_id", "line"], "word").select("doc_id", "line", "word", "x_offset", "y_offset")
 
 
-@query("""WITH c AS (SELECT doc_id, line, 'F' || (line % 3) AS font, line % 4 AS object, (line // 5)::VARCHAR AS paragraph FROM {lines}), n AS (SELECT c.*, coalesce(CASE WHEN object = 2 AND font <> 'F1' THEN 'CMMI10' END, CASE font WHEN 'F0' THEN 'Arial' WHEN 'F1' THEN 'ABCDEF+txmiaX' END) AS name FROM c)
-  SELECT doc_id, paragraph, coalesce(list_sort(list(DISTINCT name) FILTER (name IS NOT NULL)), []) AS fonts, count(*) FILTER (name IN ('CMMI10', 'ABCDEF+txmiaX')) AS formulas FROM n WHERE regexp_matches(paragraph, '^[0-4]$') GROUP BY doc_id, paragraph""")
+@query("""WITH c AS (SELECT doc_id, line, 'F' || (line % 3) AS font, line % 4 AS object, (line // 5)::VARCHAR AS paragraph FROM {lines}), n AS (SELECT c.*, coalesce(CASE WHEN object = 2 AND font <> 'F1' THEN 'CMMI10' END, CASE font WHEN 'F0' THEN 'Arial' WHEN 'F1' THEN 'ABCDEF+' || ['txmiaX', 'CMUSerif-Roman', 'Code2000', 'MSTT31', 'MSReference', 'txsys', 'AsanaX', 'Logix', 'NewCM', 'Erewhon', 'Luciole', 'CMR10', 'FiraMono', 'Georgia'][(doc_id % 14 + 1)] END) AS name FROM c)
+  SELECT doc_id, paragraph, coalesce(list_sort(list(DISTINCT name) FILTER (name IS NOT NULL)), []) AS fonts, count(*) FILTER (name IN ('CMMI10', 'ABCDEF+txmiaX', 'ABCDEF+AsanaX', 'ABCDEF+Logix', 'ABCDEF+NewCM', 'ABCDEF+Erewhon', 'ABCDEF+Luciole', 'ABCDEF+FiraMono')) AS formulas FROM n GROUP BY doc_id, paragraph""")
 def q_fonts(spark, sf):
     """J-FONT, F-FORMULA-FONT, F-FORMULA-FONT-SCOPE, R-FONTS-BY-PARA."""
     from ..functions.fonts import formula_font
 
     c = lines(spark, sf).selectExpr("doc_id", "line", "concat('F', line % 3) as font", "line % 4 as object", "cast(line div 5 as string) as paragraph")
     ids = c.select("doc_id").distinct()
-    page = ids.select("doc_id", F.explode(F.expr("array(struct('F0' as font, 'Arial' as name), struct('F1' as font, 'ABCDEF+txmiaX' as name))")).alias("f")).select("doc_id", "f.*")
+    names = F.array(*map(F.lit, ("txmiaX", "CMUSerif-Roman", "Code2000", "MSTT31", "MSReference", "txsys", "AsanaX", "Logix", "NewCM", "Erewhon", "Luciole", "CMR10", "FiraMono", "Georgia")))
+    second = F.struct(F.lit("F1").alias("font"), F.concat(F.lit("ABCDEF+"), names[(F.col("doc_id") % 14).cast("int")]).alias("name"))
+    page = ids.select("doc_id", F.explode(F.array(F.struct(F.lit("F0").alias("font"), F.lit("Arial").alias("name")), second)).alias("f")).select("doc_id", "f.*")
     own = ids.select("doc_id", F.lit(2).cast("long").alias("object"), F.explode(F.array(F.lit("F0"), F.lit("F2"))).alias("font"), F.lit("CMMI10").alias("name"))
     named = styles.fonts_in_scope(c, page, own)
     formulas = named.groupBy("doc_id", "paragraph").agg(F.sum(F.coalesce(formula_font(F.col("name")), F.lit(False)).cast("int")).cast("long").alias("formulas"))
     keyed = named.withColumn("paragraph", F.concat_ws("/", "doc_id", "paragraph"))
-    found = styles.fonts_by_paragraph(keyed, "/[0-4]$").selectExpr("cast(split(paragraph, '/')[0] as bigint) as doc_id", "split(paragraph, '/')[1] as paragraph", "fonts")
+    found = styles.fonts_by_paragraph(keyed, "/[0-9]+$").selectExpr("cast(split(paragraph, '/')[0] as bigint) as doc_id", "split(paragraph, '/')[1] as paragraph", "fonts")
     return found.join(formulas, ["doc_id", "paragraph"])
 
 

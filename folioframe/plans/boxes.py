@@ -31,7 +31,7 @@ def q_word_layout_best(spark, sf):
     return op.best_region(words(spark, sf), regions(spark, sf), PAGE, ["doc_id", "line", "word"]).select("doc_id", "line", "word", "region", "label")
 
 
-@query(f"""SELECT a.doc_id, a.line, a.word, min(b.id) AS formula FROM {{words}} a LEFT JOIN (SELECT * FROM {{regions}} WHERE label IN ('formula', 'isolate_formula')) b
+@query(f"""SELECT a.doc_id, a.line, a.word, min(b.id) AS formula FROM {{words}} a LEFT JOIN (SELECT * FROM {{regions}} WHERE label = 'formula') b
   ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND {_IOA} > 0.4 GROUP BY ALL""")
 def q_word_formula(spark, sf):
     """J-CHAR-FORMULA, F-ISOLATED-FORMULA."""

@@ -100,11 +100,11 @@ def q_render_min(spark, sf):
     return lines(spark, sf).groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("line") % 3 == 0, F.length("text"))), F.lit(100)).cast("long").alias("render_order"))
 
 
-@query("""WITH h AS (SELECT doc_id, page_no, (i)::BIGINT AS bin, sum(d)::BIGINT AS d FROM (SELECT doc_id, page_no, (y * 4)::BIGINT AS i, 1 AS d FROM {lines} WHERE line % 3 <> 1 UNION ALL SELECT doc_id, page_no, (y2 * 4)::BIGINT, -1 FROM {lines} WHERE line % 3 <> 1) GROUP BY ALL)
+@query("""WITH h AS (SELECT doc_id, page_no, (i)::BIGINT AS bin, sum(d)::BIGINT AS d FROM (SELECT doc_id, page_no, (y * 4)::BIGINT AS i, 1 AS d FROM {lines} UNION ALL SELECT doc_id, page_no, (y2 * 4)::BIGINT, -1 FROM {lines}) GROUP BY ALL)
   SELECT doc_id, page_no, bin, sum(d) OVER (PARTITION BY doc_id, page_no ORDER BY bin)::BIGINT AS n FROM h""")
 def q_gap_hist(spark, sf):
     """W-GAP-HIST: how many lines cover each 0.25 of height, from +1 and -1 at their edges."""
-    some = lines(spark, sf).where("line % 3 <> 1")
+    some = lines(spark, sf)
     edge = lambda c, d: some.select(*PAGE, F.round(F.col(c) * 4).cast("long").alias("bin"), F.lit(d).cast("long").alias("d"))
     steps = edge("y", 1).unionAll(edge("y2", -1)).groupBy(*PAGE, "bin").agg(F.sum("d").alias("d"))
     return steps.select(*PAGE, "bin", F.sum("d").over(Window.partitionBy(*PAGE).orderBy("bin")).alias("n"))
@@ -276,10 +276,10 @@ def q_vocabulary(spark, sf):
     return table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z']+)"))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, unnest(string_split(regexp_replace('refs [1] ' || text, ' \\[', chr(1) || '[', 'g'), chr(1))) AS entry FROM {lines} WHERE line % 11 = 3""")
+@query("""SELECT doc_id, unnest(string_split(regexp_replace('refs [1] ' || text, ' \\[', chr(1) || '[', 'g'), chr(1))) AS entry FROM {lines}""")
 def q_ref_split(spark, sf):
     """W-REF-SPLIT: a bibliography cut before each [n]."""
-    return lines(spark, sf).where("line % 11 = 3").select("doc_id", F.explode(F.split(F.concat(F.lit("refs [1] "), "text"), r" (?=\[)")).alias("entry"))
+    return lines(spark, sf).select("doc_id", F.explode(F.split(F.concat(F.lit("refs [1] "), "text"), r" (?=\[)")).alias("entry"))
 
 
 @query("""SELECT doc_id, line, r.label, r.label IN ('text', 'plain text', 'paragraph_hybrid') AS body FROM {lines} l JOIN (SELECT doc_id, page_no, id, label FROM {regions}) r USING (doc_id, page_no) WHERE r.id = l.line % 15 AND length(trim(text)) >= 5 AND NOT regexp_matches(text, '^\\(cid:[0-9]+\\)$')
