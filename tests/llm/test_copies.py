@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from conftest import SMALL
 
 from folioframe.llm import bwt, components, embedding_dedup, simhash_dedup, suffix_dedup
 from folioframe.llm.scratch import Scratch
@@ -180,6 +181,29 @@ def test_repeated_rows(spark):
     assert sorted(r["n_removed"] for r in suffix_dedup.repeat_digest(docs).collect()) == [0, 400, 400]
 
 
+def slow_digest(texts, length=400):
+    """n_removed, n_spans, kept_sha256 of each text, from hashes of all strings of `length` bytes."""
+    seen = Counter(hash(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        runs = []
+        for i in range(len(t) - length + 1):
+            if seen[hash(t[i : i + length])] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + length
+                else:
+                    runs.append([i, i + length])
+        kept = b"".join(t[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(t)], strict=True))
+        yield len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+
+
+def test_repeats_of_whole_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = {r["doc_id"]: x for r, x in zip(rows, slow_digest([(r["text"] or "").encode() for r in rows]), strict=True)}
+    for most in (suffix_dedup.MOST, 2):
+        assert {r["doc_id"]: tuple(r)[2:] for r in suffix_dedup.repeat_digest(docs, most=most).collect()} == want
+
+
 def test_copies_of_whole_texts(spark):
     """Copies that go whole still witness what others share with them; helper names may clash."""
     rnd = random.Random(12)
