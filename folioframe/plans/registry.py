@@ -1,7 +1,7 @@
 """Queries by name with their SQL, and the tables that they share.
 
 Raw documents hold none of the structures that the operators recognise, so queries work on lines
-decorated by a rule that Spark and SQL state alike.
+decorated by a rule that Spark and SQL state alike. It adds to lines, before, after or as lines of their own; no text is left out.
 """
 
 from __future__ import annotations
@@ -35,19 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: How a line is decorated, by (7 doc_id + line) mod 24; valid in Spark and in DuckDB.
-DECORATION = """CASE (doc_id * 7 + line) % 24
+def decoration(line: str) -> str:
+    """How a raw line is decorated, by (7 doc_id + line) mod 24; a short text follows it as a line of its own. Valid in Spark and in DuckDB."""
+    return f"""CASE (doc_id * 7 + {line}) % 24
   WHEN 0 THEN concat('- ', raw) WHEN 1 THEN concat('■ ', raw) WHEN 2 THEN concat('3. ', raw)
-  WHEN 3 THEN concat('1.2 ', raw, ' 17') WHEN 4 THEN '204' WHEN 5 THEN 'xiv' WHEN 6 THEN '(cid:7)'
+  WHEN 3 THEN concat('1.2 ', raw, ' 17') WHEN 4 THEN concat(raw, chr(10), '204') WHEN 5 THEN concat(raw, chr(10), 'xiv') WHEN 6 THEN concat(raw, chr(10), '(cid:7)')
   WHEN 7 THEN concat(raw, repeat('.', 24)) WHEN 8 THEN concat(raw, '-') WHEN 9 THEN concat('a  b ', raw)
-  WHEN 10 THEN 'total_sum = foo.bar(1);' WHEN 11 THEN '12.5' WHEN 12 THEN '  ' WHEN 13 THEN concat('Chapter 4 ', raw)
-  WHEN 14 THEN 'iv 1 25 51' WHEN 15 THEN '1.3 New Hardware 207' WHEN 16 THEN 'appendix A' WHEN 17 THEN 'Channels 1 1 •'
-  WHEN 18 THEN 'table of contents' WHEN 19 THEN '• item' ELSE raw END"""
+  WHEN 10 THEN concat(raw, chr(10), 'total_sum = foo.bar(1);') WHEN 11 THEN concat(raw, chr(10), '12.5') WHEN 12 THEN concat(raw, chr(10), '  ') WHEN 13 THEN concat('Chapter 4 ', raw)
+  WHEN 14 THEN concat(raw, chr(10), 'iv 1 25 51') WHEN 15 THEN concat(raw, chr(10), '1.3 New Hardware 207') WHEN 16 THEN concat(raw, chr(10), 'appendix A')
+  WHEN 17 THEN concat(raw, chr(10), 'Channels 1 1 •') WHEN 18 THEN concat(raw, chr(10), 'table of contents') WHEN 19 THEN concat(raw, chr(10), '• item') ELSE raw END"""
+
 
 LINES_SQL = f"""SELECT *, 40.0::DOUBLE + 15 * (line % 9 // 8) AS x, 40.0::DOUBLE + 15 * (line % 9 // 8) + 5 * length(text) AS x2,
   788.0::DOUBLE - 14 * (line % 50) AS y, 800.0::DOUBLE - 14 * (line % 50) AS y2
-FROM (SELECT doc_id, line, line // 50 AS page_no, {DECORATION} AS text
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents))"""
+FROM (SELECT *, line // 50 AS page_no FROM (SELECT doc_id, unnest(t) AS text, unnest(range(len(t))) AS line
+  FROM (SELECT doc_id, string_split(array_to_string(list_transform(string_split(text, chr(10)), lambda raw, i: {decoration('(i - 1)')}), chr(10)), chr(10)) AS t FROM documents)))"""
 
 #: Fixed grid of regions on every page: ten lines each, labels in turn.
 LABELS = ("text", "title", "table_text", "formula", "figure", "list_item", "header", "isolate_formula")
@@ -63,8 +65,9 @@ FROM (SELECT doc_id, page_no, line, word, text, y, y2, x0,
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line, page_no, text, x, y, x2, y2 of decorated lines."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("line", F.col("line").cast("long"))
-    out = raw.select("doc_id", "line", F.expr("line div 50").alias("page_no"), F.expr(DECORATION).alias("text"))
+    decorated = F.expr(f"array_join(transform(split(text, chr(10)), (raw, line) -> {decoration('line')}), chr(10))")
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(decorated, "\n")).alias("line", "text"))
+    out = each.withColumn("line", F.col("line").cast("long")).select("doc_id", "line", F.expr("line div 50").alias("page_no"), "text")
     x = F.expr("40D + 15 * (line % 9 div 8)")
     return out.withColumns({"x": x, "x2": x + 5 * F.length("text"), "y": F.expr("788D - 14 * (line % 50)"), "y2": F.expr("800D - 14 * (line % 50)")})
 
