@@ -85,3 +85,11 @@ def multiply(m: tuple[Column, ...], n: tuple[Column, ...]) -> tuple[Column, ...]
     a, b, c, d, e, f = m
     g, h, i, j, k, o = n
     return (a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + o)
+
+
+def from_letterbox(a: Box, seen: tuple[Column, Column], page: tuple[Column, Column]) -> Box:
+    """P-SCALE-BOX: a box in a padded image (height, width) back in the page's image, whose shape was kept."""
+    gain = F.least(seen[0] / page[0], seen[1] / page[1])
+    pad = lambda s, p: F.bround((s - p * gain) / 2 - 0.1)
+    dx, dy = pad(seen[1], page[1]), pad(seen[0], page[0])
+    return Box((a.x - dx) / gain, (a.y - dy) / gain, (a.x2 - dx) / gain, (a.y2 - dy) / gain)

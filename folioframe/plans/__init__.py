@@ -1,6 +1,6 @@
 """Queries of the operators, with the SQL that checks them."""
 
-from . import books, boxes, events, lines, paragraphs, units  # noqa: F401
+from . import books, boxes, delivery, events, lines, paragraphs, units  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
