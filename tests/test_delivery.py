@@ -71,3 +71,13 @@ def test_descent(spark):
     moved, shifts = writing.without_descent(chars, spark.createDataFrame([("a", -200.0), ("b", -100.0)], "font string, descent double"), ["p"], "i")
     assert {(r["p"], r["i"]): (r["x"], r["y"]) for r in moved.collect()} == {(1, 0): (0.0, 2.0), (1, 1): (0.0, 1.0), (2, 0): (-2.0, 0.0), (3, 0): (0.0, 0.0)}
     assert {r["p"]: (r["shift_x"], r["shift_y"]) for r in shifts.collect()} == {1: (0.0, 2.0), 2: (-2.0, 0.0)}
+
+
+def test_settings(tmp_path):
+    from folioframe.sources.settings import Settings, read_settings
+
+    path = tmp_path / "run.toml"
+    path.write_text('[tool]\nlang-out = "ko"\nqps = 0\nglossary-files = "a.csv, b.csv,"\n')
+    assert read_settings(str(path), "tool", model="m", lang_in=None) == Settings(lang_out="ko", model="m", glossary_files=("a.csv", "b.csv"))
+    path.write_text("")
+    assert read_settings(str(path)) == Settings()
