@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -270,3 +271,12 @@ def test_index_recall():
     for i, j in zip(*np.nonzero(close), strict=True):
         assert look[i, at[j]]
         assert index.distances(x[i : i + 1], int(at[j]), codes[j : j + 1])[0, 0] - left[j] <= reach + embedding_dedup.SLACK
+
+
+def test_memory_of_merged_transforms():
+    strings = [[1 + (31 * i + j * j) % 97 for j in range(200)] for i in range(1000)]
+    tracemalloc.start()
+    bwt.longest_elsewhere(strings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * sum(len(s) + 1 for s in strings)
