@@ -34,8 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere; n_chars is counted anew where text went."""
-    out = remove_repeats(docs)
+    """Documents without the passages of 50 words or 400 bytes that occur elsewhere; n_chars is counted anew where text went.
+
+    Passages are found by strings of 200 bytes, which 50 words have wherever these have three letters on average.
+    """
+    out = remove_repeats(docs, length=200, width=128, words=50, size=400)
     if "n_chars" not in out.columns:
         return out
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
