@@ -162,3 +162,20 @@ def test_stream(spark, tmp_path):
     at = batch.withColumn("at", F.col("ts").cast("timestamp").cast("double"))
     want = progress.throttle(at, ["user_id"], "event_id", F.col("at"), 36_000.0)
     assert {r["event_id"] for r in spark.table("kept").collect()} == {r["event_id"] for r in want.collect()}
+
+
+def test_active_terms_without_pairs(spark):
+    """Terms are looked up, not tested against each text; spaces, empty, null and repeated terms included."""
+    lines = ["Alphabet soup", "the ALPHA beta", None, "", "alphabeta\talpha", "soup of the day", "x" * 100 + "soup" + "é" * 70, "É soup\x1fday"]
+    names = ["alpha", "Alphabet", "beta", "soup", "of the", "", "É", "é", None, "alpha", "the"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "n int, text string")
+    entries = spark.createDataFrame(list(enumerate(names)), "id int, source string")
+    low = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    want = sorted((i, k) for i, x in enumerate(lines) for k, y in enumerate(names) if x is not None and y is not None and low(y) in low(x))
+    for most in (5_000, 3):
+        got = terms.active_terms(texts, entries, most=most)
+        assert got.columns == ["n", "text", "id", "source"]
+        if most > 3:
+            assert sorted((r["n"], r["id"]) for r in got.collect()) == want
+    plain = terms.active_terms(texts, entries.where("id in (0, 1, 2, 3)"))
+    assert "NestedLoop" not in plain._jdf.queryExecution().executedPlan().toString()
